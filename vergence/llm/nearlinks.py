@@ -23,7 +23,7 @@ def _similar(x: Column, y: Column, percent: int) -> Column:
 
 def _fit(percent: int) -> Column:
     """The sizes allow the similarity."""
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") <> F.col("b"))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
 
 
 def verified(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -63,7 +63,7 @@ def similarity_components(shared: DataFrame, sets_of, percent: int = NEAR_PERCEN
     placed = cut(_with_component(large, found))
     most = placed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
     others = placed.join(most, "key").where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    pairs = others.join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")), "key").where((F.col("c_a") <> F.col("c_b")) & _fit(percent)).select("a", "b")
+    pairs = others.join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")), "key").where((F.col("c_a") != F.col("c_b")) & _fit(percent)).select("a", "b")
     late = verified(pairs, sets_of, percent)
     if late.isEmpty():
         return found
