@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vergence.llm import minhash
+from vergence.llm import bpe, minhash, tokencount, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> bytes:
+    """The driver reads a vocabulary file; its bytes go to the tasks."""
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def bpe_round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts' ids and of what these decode to."""
+    ranks = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_documents(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
     "op8_minhash_near_dedup": (op8_minhash_near_dedup, None),
+    "op9_byte_bpe": (op9_byte_bpe, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
