@@ -116,11 +116,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(filled.groupBy("class_a", "class_b", "n").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id"), "class_a", "class_b")
     rows = filled.join(reps, ["doc_id", "class_a", "class_b"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("least"), F.max(F.struct("id", "n")).alias("most")).where("members > 1")
-    groups = groups.select("key", "members", F.col("least.id").alias("first"), F.col("least.n").alias("n_first"), F.col("most.id").alias("last"), F.col("most.n").alias("n_last"))
-    shared = cut(rows.join(groups, "key"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = similarity_components(shared, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi")).dropDuplicates(["id"]), percent)
+    found = similarity_components(rows, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi")).dropDuplicates(["id"]), percent)
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class_a", "class_b", "n", F.coalesce("component", "rep").alias("component_id"))
     out = marks.drop("keys").join(of_class, ["class_a", "class_b", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

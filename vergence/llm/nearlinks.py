@@ -1,19 +1,31 @@
 """Classes of similar sets from blocking keys, without all pairs of a group.
 
-Sets that share a key are candidates.  A group may be huge, so it is not paired off: each member
-is compared with the first and the last of its group, which settles all but a few members of a
-group of near copies.  Members that these comparisons leave in another component than most of
-their group are then compared with all of it, so no candidate link between components is lost.
+Sets that share a key are candidates.  Keys of two or three ids give their pairs.  A larger group
+is not paired off: in each round the ids outside the component that most of the group is in are
+compared with a few members of that component, which links nearly all of a group of near copies;
+what is left outside after the rounds is compared with the whole group, so that no candidate link
+between different components is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.llm.common import NEAR_PERCENT, cut
 from vergence.llm.components import connected_components
 
+#: Members that an id is compared with in a round, and the most rounds before the full comparison.
+PROBES, ROUNDS = 4, 5
+
+
+def sizes_fit(percent: int) -> Callable[[Column, Column], Column]:
+    """The sizes n of two rows allow the similarity."""
+    return lambda a, b: 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+
 
 def _similar(x: Column, y: Column, percent: int) -> Column:
     """100 * |x and y| >= percent * |x or y| of arrays of distinct values."""
@@ -21,50 +33,61 @@ def _similar(x: Column, y: Column, percent: int) -> Column:
     return (both > 0) & (100 * both >= percent * (F.size(x) + F.size(y) - both))
 
 
-def _fit(percent: int) -> Column:
-    """The sizes allow the similarity."""
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-
-
-def verified(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar.  sets_of(ids) gives (id, members).
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, given as (id, members), are similar.
 
     A set that many pairs name is a key with many rows on one side and one row on the other,
     which Spark's skew join splits."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(sets_of(ids))
-    return cut(
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("of_b")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")), "a")
-        .where(_similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
-    )
-
-
-def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of_b = sets.select(F.col("id").alias("b"), F.col("members").alias("of_b"))
+    of_a = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a"))
+    return cut(pairs.join(of_b, "b").join(of_a, "a").where(_similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
 
-def similarity_components(shared: DataFrame, sets_of, percent: int = NEAR_PERCENT) -> DataFrame:
-    """(node, component) of the links among candidates.
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    shared: (key, id, n, first, n_first, last, n_last, members): the rows of keys that two or more
-    ids have, with the size n of the id's set, two other members of the key and the key's number
-    of ids.  For up to three ids those two comparisons must be all there are."""
-    ends = [shared.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col(e).alias("b"), F.col(f"n_{e}").alias("n_b")).where(_fit(percent)) for e in ("first", "last")]
-    links = verified(ends[0].union(ends[1]), sets_of, percent)
-    found = connected_components(links)
-    large = shared.where("members > 3").select("key", "id", "n")
-    if large.isEmpty():
-        return found
-    found = cut(found)
-    placed = cut(_with_component(large, found))
-    most = placed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    others = placed.join(most, "key").where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    pairs = others.join(placed.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b")), "key").where((F.col("c_a") != F.col("c_b")) & _fit(percent)).select("a", "b")
-    late = verified(pairs, sets_of, percent)
-    if late.isEmpty():
+
+def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = NEAR_PERCENT, fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(node, component) of the similar sets among those that share a key.
+
+    rows: distinct (key, id, n, ...), n being the size of the id's set.  sets_of(ids) gives the
+    (id, members) of the ids that share a key with another.  fits(a, b) is a cheap necessary
+    condition on two rows, given as structs."""
+    fits = fits or sizes_fit(percent)
+    counts = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = cut(rows.join(counts, "key"))
+    sets = cut(sets_of(shared.select("id").distinct()))
+    held = shared.select("key", "members", F.struct(*[c for c in rows.columns if c != "key"]).alias("row"))
+
+    few = held.where("members <= 3")
+    pairs = few.select("key", F.col("row").alias("x")).join(few.select("key", F.col("row").alias("y")), "key").where("x.id < y.id").where(fits(F.col("x"), F.col("y")))
+    links = verified(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets, percent)
+    found = cut(connected_components(links))
+    many = held.where("members > 3").select("key", F.col("row.id").alias("id"), "row")
+    if many.isEmpty():
         return found
-    return connected_components(links.unionByName(late))
+
+    for turn in range(ROUNDS + 1):
+        placed = cut(_placed(many, found))
+        by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.max_by("id", F.xxhash64(F.lit(turn), "id")).alias("probe"))
+        main = by_component.groupBy("key").agg(F.max(F.struct("size", "component", "probe")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
+        others = cut(placed.join(main, "key").where("component <> main.component").select("key", "id", "row", "component", "main", "all"))
+        work = others.agg(F.sum("all"), F.count("*")).first()
+        if not work[1]:
+            return found
+        last = turn == ROUNDS or work[0] <= many.count()
+        if last:
+            whole = placed.select("key", F.col("row").alias("y"), F.col("component").alias("c_y"))
+            pairs = others.select("key", F.col("row").alias("x"), F.col("component").alias("c_x")).join(whole, "key").where("c_x <> c_y").where(fits(F.col("x"), F.col("y")))
+            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        else:
+            some = W.partitionBy("id").orderBy(F.xxhash64(F.lit(turn), "key"))  # as many rows as an id has keys
+            pairs = others.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= PROBES).select(F.col("id").alias("a"), F.col("main.probe").alias("b"))
+        more = verified(pairs, sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = cut(connected_components(links))
+        if last:
+            return found
+    return found
