@@ -12,11 +12,15 @@ def _oriented(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
 
 
+def _further(hops: DataFrame) -> DataFrame:
+    on = hops.select(F.col("hi").alias("up"), F.col("up").alias("further"))
+    return hops.join(on, "up", "left").select("hi", F.coalesce("further", "up").alias("up"))
+
+
 def _jump(hops: DataFrame) -> DataFrame:
-    """Follows the hops until each ends at a node that has none."""
+    """Follows the hops until each ends at a node that has none; a round makes them four times as long."""
     while not hops.join(hops.select(F.col("hi").alias("up")), "up", "left_semi").isEmpty():
-        on = hops.select(F.col("hi").alias("up"), F.col("up").alias("further"))
-        hops = cut(hops.join(on, "up", "left").select("hi", F.coalesce("further", "up").alias("up")))
+        hops = cut(_further(_further(hops)))
     return hops
 
 
@@ -34,7 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hops = _jump(cut(left.groupBy("hi").agg(F.min("lo").alias("up"))))
         levels.append(hops)
         of_lo = hops.select(F.col("hi").alias("lo"), F.col("up").alias("lo_up"))
-        left = cut(_oriented(left.join(hops, "hi").join(of_lo, "lo", "left").select(F.col("up").alias("a"), F.coalesce("lo_up", "lo").alias("b")), "a", "b"))
+        moved = left.join(hops, "hi").join(of_lo, "lo", "left").select(F.col("up").alias("a"), F.coalesce("lo_up", "lo").alias("b"))
+        left = cut(_oriented(moved, "a", "b"))
     if not levels:
         return left.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     found = levels[-1]
@@ -42,3 +47,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         on = found.select(F.col("hi").alias("up"), F.col("up").alias("end"))
         found = hops.join(on, "up", "left").select("hi", F.coalesce("end", "up").alias("up")).unionByName(found)
     return found.select(F.col("hi").alias("node"), F.col("up").alias("component"))
+
+
+def extended(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """connected_components() of the edges (a, b) and of those that `found` came from."""
+    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("at_a"))
+    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("at_b"))
+    moved = edges.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b"))
+    more = cut(connected_components(moved))
+    on = more.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    return cut(found.join(on, "component", "left").select("node", F.coalesce("end", "component").alias("component")).unionByName(more))

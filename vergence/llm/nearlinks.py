@@ -1,10 +1,10 @@
 """Classes of similar sets from blocking keys, without all pairs of a group.
 
-Sets that share a key are candidates.  Keys of two or three ids give their pairs.  A larger group
-is not paired off: in each round the ids outside the component that most of the group is in are
-compared with a few members of that component, which links nearly all of a group of near copies;
-what is left outside after the rounds is compared with the whole group, so that no candidate link
-between different components is lost.
+Sets that share a key are candidates.  Keys of few ids give their pairs.  The ids of a larger
+group are first compared with one pivot of the group, which links nearly all of a group of near
+copies.  What is left outside the component that most of the group is in is compared with more
+members of that component, and at last with the whole group, so that no candidate link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.llm.common import NEAR_PERCENT, cut
-from vergence.llm.components import connected_components
+from vergence.llm.components import connected_components, extended
 
-#: Members that an id is compared with in a round, and the most rounds before the full comparison.
-PROBES, ROUNDS = 4, 5
+#: Ids of a group that is paired off at once; keys by which an id is compared with other members in a round; most such rounds.
+FEW, PROBES, ROUNDS = 8, 4, 3
 
 
 def sizes_fit(percent: int) -> Callable[[Column, Column], Column]:
@@ -33,61 +33,68 @@ def _similar(x: Column, y: Column, percent: int) -> Column:
     return (both > 0) & (100 * both >= percent * (F.size(x) + F.size(y) - both))
 
 
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")]
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets, given as (id, members), are similar.
+    """The distinct pairs (a, b) whose full sets, given as (id, members), are similar.
 
     A set that many pairs name is a key with many rows on one side and one row on the other,
     which Spark's skew join splits."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     of_b = sets.select(F.col("id").alias("b"), F.col("members").alias("of_b"))
     of_a = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a"))
     return cut(pairs.join(of_b, "b").join(of_a, "a").where(_similar(F.col("of_a"), F.col("of_b"), percent)).select("a", "b"))
 
 
-def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = NEAR_PERCENT, fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = NEAR_PERCENT) -> DataFrame:
     """(node, component) of the similar sets among those that share a key.
 
-    rows: distinct (key, id, n, ...), n being the size of the id's set.  sets_of(ids) gives the
-    (id, members) of the ids that share a key with another.  fits(a, b) is a cheap necessary
-    condition on two rows, given as structs."""
-    fits = fits or sizes_fit(percent)
-    counts = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(rows.join(counts, "key"))
-    sets = cut(sets_of(shared.select("id").distinct()))
-    held = shared.select("key", "members", F.struct(*[c for c in rows.columns if c != "key"]).alias("row"))
-
-    few = held.where("members <= 3")
-    pairs = few.select("key", F.col("row").alias("x")).join(few.select("key", F.col("row").alias("y")), "key").where("x.id < y.id").where(fits(F.col("x"), F.col("y")))
-    links = verified(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets, percent)
-    found = cut(connected_components(links))
-    many = held.where("members > 3").select("key", F.col("row.id").alias("id"), "row")
-    if many.isEmpty():
+    rows: distinct (key, id, n), n being the size of the id's set.  sets_of(ids) gives the
+    (id, members) of the ids asked for."""
+    fits = sizes_fit(percent)
+    row = F.struct("id", "n")
+    by_hash = F.struct(F.xxhash64("id").alias("order"), row.alias("row"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("members"), F.min(by_hash)["row"].alias("pivot"), F.max(by_hash)["row"].alias("other")).where("members > 1")
+    groups = cut(groups)
+    two = groups.where("members = 2").where(fits(F.col("pivot"), F.col("other"))).select(*_pair(F.col("pivot"), F.col("other")))
+    held = cut(rows.join(groups.where("members > 2").select("key", "members", "pivot"), "key").select("key", "members", "pivot", row.alias("x")))
+    few, many = held.where(f"members <= {FEW}"), held.where(f"members > {FEW}")
+    some = few.select("key", "x").join(few.select("key", F.col("x").alias("y")), "key").where("x.id < y.id").where(fits(F.col("x"), F.col("y"))).select(*_pair(F.col("x"), F.col("y")))
+    first = many.where("x.id <> pivot.id").where(fits(F.col("x"), F.col("pivot"))).select(*_pair(F.col("x"), F.col("pivot")))
+    pairs = cut(two.unionByName(some).unionByName(first).distinct())
+
+    big = not many.isEmpty()
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    if big:
+        ids = ids.unionByName(many.select("x.id"))
+    sets = cut(sets_of(ids.distinct()))
+    found = cut(connected_components(verified(pairs, sets, percent)))
+    if not big:
         return found
 
-    for turn in range(ROUNDS + 1):
-        placed = cut(_placed(many, found))
-        by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.max_by("id", F.xxhash64(F.lit(turn), "id")).alias("probe"))
+    many, at = many.select("key", "x", F.col("x.id").alias("id")), found
+    size = many.count()
+    for turn in range(1, ROUNDS + 1):
+        at = found.select(F.col("node").alias("id"), "component")
+        placed = cut(many.join(at, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.max_by("x", F.xxhash64(F.lit(turn), "id")).alias("probe"))
         main = by_component.groupBy("key").agg(F.max(F.struct("size", "component", "probe")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
-        others = cut(placed.join(main, "key").where("component <> main.component").select("key", "id", "row", "component", "main", "all"))
-        work = others.agg(F.sum("all"), F.count("*")).first()
-        if not work[1]:
+        others = cut(placed.join(main, "key").where("component <> main.component").select("key", "x", "id", "component", "main", "all"))
+        work, left = others.agg(F.sum("all"), F.count("*")).first()
+        if not left:
             return found
-        last = turn == ROUNDS or work[0] <= many.count()
-        if last:
-            whole = placed.select("key", F.col("row").alias("y"), F.col("component").alias("c_y"))
-            pairs = others.select("key", F.col("row").alias("x"), F.col("component").alias("c_x")).join(whole, "key").where("c_x <> c_y").where(fits(F.col("x"), F.col("y")))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        last = turn == ROUNDS or work <= 4 * size
+        if last:  # each pair of different components that an outsider is in
+            whole = placed.select("key", F.col("x").alias("y"), F.col("component").alias("c_y"))
+            near = others.select("key", "x", F.col("component").alias("c_x")).join(whole, "key").where("c_x <> c_y").where(fits(F.col("x"), F.col("y")))
+            near = near.select(*_pair(F.col("x"), F.col("y")))
         else:
-            some = W.partitionBy("id").orderBy(F.xxhash64(F.lit(turn), "key"))  # as many rows as an id has keys
-            pairs = others.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= PROBES).select(F.col("id").alias("a"), F.col("main.probe").alias("b"))
-        more = verified(pairs, sets, percent)
+            nth = F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64(F.lit(turn), "key")))  # as many rows as an id has keys
+            near = others.withColumn("nth", nth).where(F.col("nth") <= PROBES).where(fits(F.col("x"), F.col("main.probe"))).select(*_pair(F.col("x"), F.col("main.probe")))
+        more = verified(near.distinct(), sets, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = cut(connected_components(links))
+            found = extended(found, more)
         if last:
             return found
     return found
