@@ -33,15 +33,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
     The id and the number of shards alone decide a row's shard; grown_shard is its shard if there
     were one more.  Slots are gapless from 0 within a shard, in random order.  A null text counts
-    no bytes; a null id is a key like any other.  Rows that repeat an id share its shard but are
-    scattered over its buckets by their place in the order of texts, so one id may hold any part
-    of the rows.  Columns of docs with one of these names are replaced.  An empty table gives no rows."""
+    no bytes; a null id is a key like any other.  Rows that repeat an id share its shard but their
+    texts scatter them over its buckets; rows equal in both share a bucket.  Columns of docs with
+    one of these names are replaced.  An empty table gives no rows."""
     added = ["shard", "slot", "record_bytes", "grown_shard"]
     own = docs.drop(*added)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + RECORD_BYTES
     total = docs.select(F.sum(size)).first()[0] or 0
     buckets = max(1, math.ceil(total / shards / bucket_bytes))
-    salt = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), F.monotonically_increasing_id()) if buckets > 1 else F.lit(0)
+    salt = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     now = shard_of(F.col(id_col), shards, seed)
     grown = F.greatest(F.struct(F.xxhash64(F.lit(seed), F.lit(shards), F.col(id_col)), F.lit(True)), F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), F.col(id_col)), F.lit(False)) for s in range(shards)])))["col2"]
     row = F.struct(*[F.col(f"`{c}`") for c in own.columns])
