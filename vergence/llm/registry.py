@@ -5,10 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vergence.llm import bpe, minhash, tokencount, vectors
+from vergence.llm import bpe, decontam, langid, lines, minhash, quality, secrets, sharding, tokencount, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,52 @@ def _vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def _fold(folds: int) -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)), F.lit(0))
+
+
+def language_models(docs: DataFrame) -> langid.Models:
+    """Of the folds 0 and 1 of four, calibrated on fold 3; fold 2 is held out."""
+    return langid.fit(docs.where(_fold(4) < 2), docs.where(_fold(4) == 3))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text"), language_models(docs.select("doc_id", "lang", "text")))
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = F.transform(F.filter("found", lambda x: x["coverage"] >= decontam.COVERAGE), lambda x: x["item_id"])
+    return found.select("doc_id", "contaminated", "coverage", F.array_sort(F.array_distinct(ids)).alias("item_ids"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    placed = sharding.shard(_documents(spark, sf_dir))
+    return placed.select("doc_id", F.col("record_bytes").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "line_count", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir)))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    known = docs.join(labels.where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    found = quality.score(docs, quality.fit(known))
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -44,7 +86,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
+    "op2_decontamination": (op2_decontamination, None),
+    "op3_sharding": (op3_sharding, None),
+    "op4_line_dedup": (op4_line_dedup, None),
+    "op5_secret_scan": (op5_secret_scan, None),
     "op6_embedding_near_dedup": (op6_embedding_near_dedup, None),
+    "op7_quality": (op7_quality, None),
     "op8_minhash_near_dedup": (op8_minhash_near_dedup, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_token_counts": (op10_token_counts, None),
