@@ -2,4 +2,276 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vergence.functions import text
+from vergence.operators import audit, catalog, evaluation, limits, retrieval, sessions, stats
+from vergence.plans import sql
+from vergence.sources import views
+from vergence.sources.views import AS_OF, table
+
+KEY = ["asset_id", "version_no", "seq"]
+
+
+def lexical_top_k(spark: SparkSession, d: str) -> DataFrame:
+    scored = retrieval.lexical_scores(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"])
+    return retrieval.top_k(scored, 5, "asset_id", "seq").select("query_id", "rank", "asset_id", "seq", "overlap", F.round("score", 6).alias("score"))
+
+
+def retrieve_top_k(spark: SparkSession, d: str) -> DataFrame:
+    assets, chunks = views.assets(spark, d), views.chunks(spark, d)
+    return retrieval.retrieve(views.questions(spark, d), assets, chunks, 5).select("query_id", "rank", "asset_id", "seq", F.round("score", 5).alias("score"))
+
+
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Assets that hold a question's whole text are expected."""
+    scored = retrieval.lexical_scores(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"])
+    ranked = retrieval.top_k(scored, 3, "asset_id", "seq")
+    asked = views.questions(spark, d)
+    # assets that share all terms are few, and only these are searched for the text
+    covered = retrieval.coverage(asked, views.assets(spark, d).select("asset_id", F.col("body").alias("chunk")), ["asset_id"]).where("coverage = 1")
+    body = views.assets(spark, d).select("asset_id", "body")
+    expected = covered.join(body, "asset_id").join(asked, "query_id").where(F.contains("body", "question")).groupBy("query_id").agg(F.min("asset_id").alias("expected"))
+    cases = asked.select("query_id").join(expected, "query_id", "left").withColumn("case_group", F.when(F.col("expected").isNull(), "open").otherwise("answerable"))
+    return evaluation.metrics(evaluation.judged(cases, ranked))
+
+
+def title_idf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.title_idf(views.assets(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def title_affinity(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.title_affinity(views.questions(spark, d), views.assets(spark, d)).select("query_id", "asset_id", F.round("affinity", 6).alias("affinity"))
+
+
+def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
+    found = retrieval.coverage(views.questions(spark, d), views.chunks(spark, d), ["asset_id"])
+    return retrieval.top_k(found, 3, "asset_id", score="coverage").select("query_id", "asset_id", "rank", F.round("coverage", 6).alias("coverage"))
+
+
+def unknown_terms(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.unknown_terms(views.questions(spark, d), views.chunks(spark, d))
+
+
+def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    asked, key = views.questions(spark, d), "asset_id"
+    lexical = retrieval.lexical_scores(asked, views.assets(spark, d).select("asset_id", F.col("body").alias("chunk")), [key])
+    titled = retrieval.title_affinity(asked, views.assets(spark, d)).select("query_id", key, F.round("affinity", 6).alias("score"))
+    fused = retrieval.rank_fusion(retrieval.top_k(lexical, 10, key), retrieval.top_k(titled, 10, key), key, 5)
+    return fused.select("query_id", "rank", key, F.round("fused", 6).alias("fused"))
+
+
+def linear_fusion(spark: SparkSession, d: str) -> DataFrame:
+    asked, key = views.questions(spark, d), "asset_id"
+    lexical = retrieval.top_k(retrieval.lexical_scores(asked, views.assets(spark, d).select("asset_id", F.col("body").alias("chunk")), [key]), 10, key).select("query_id", key, "score")
+    dense = retrieval.title_affinity(asked, views.assets(spark, d)).select("query_id", key, F.round("affinity", 6).alias("score"))
+    dense = retrieval.top_k(dense, 10, key).select("query_id", key, F.col("score").alias("cos"))
+    return retrieval.linear_fusion(lexical, dense, key, 5).select("query_id", "rank", key, F.round("fused", 6).alias("fused"))
+
+
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.nearest(asked, vectors, 10, 0.3).select("query_id", "vec_id", "rank", F.round("cos", 6).alias("cos"))
+
+
+def document_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return views.chunks(spark, d).select("asset_id", "seq", F.md5("chunk").alias("chunk_md5"))
+
+
+def document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    found = views.assets(spark, d).select("asset_id", text.tokens(F.col("body")).alias("t"))
+    return found.select("asset_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.md5(F.array_join(F.array_sort(F.array_distinct("t")), " ")).alias("terms_md5"))
+
+
+def redact_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.masked(F.col("text"))).alias("masked_md5"), (text.masked(F.col("text")) != F.col("text")).alias("changed"))
+
+
+def contact_mask(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").select("doc_id", "text", text.contact_masked(F.col("text")).alias("m"))
+    return found.select("doc_id", F.md5("m").alias("masked_md5"), (F.col("m") != F.col("text")).alias("changed"))
+
+
+def normalised_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalised(F.col("text"))).alias("normalised_md5"))
+
+
+def knowledge_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that no agent answered, by their key: how often, and the first."""
+    asked = views.messages(spark, d)
+    open_ = sessions.unanswered(asked).join(asked.select("id", "content"), "id")
+    grouped = open_.groupBy(text.question_key(F.col("content")).alias("question_key")).agg(F.count("*").alias("hit_count"), F.min("id").alias("first_id"))
+    return grouped.select(F.md5("question_key").alias("key_md5"), "hit_count", "first_id")
+
+
+def first_question(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.first_question(views.messages(spark, d))
+
+
+def last_question(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.last_question(views.messages(spark, d)).select("session_id", "id", F.md5("last_question").alias("question_md5"))
+
+
+def prev_user_question(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.previous_question(views.messages(spark, d)).select("id", "session_id", F.md5("question").alias("question_md5"))
+
+
+def next_assistant_reply(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.next_reply(views.messages(spark, d))
+
+
+def recent_turns(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.recent_turns(views.messages(spark, d))
+
+
+def backflow_transcript(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.transcript(views.messages(spark, d)).select("session_id", "n_messages", F.md5("transcript").alias("transcript_md5"))
+
+
+def unanswered_questions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.unanswered(views.messages(spark, d))
+
+
+def session_list(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_list(views.messages(spark, d))
+
+
+def visit_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.sessionised(views.telemetry(spark, d), "user_id", "ts", 60)
+
+
+def event_islands(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.islands(views.telemetry(spark, d), "user_id", "event_id")
+
+
+def daily_zero_fill(spark: SparkSession, d: str) -> DataFrame:
+    kinds = {k: F.col("event_type") == k for k in ("signup", "purchase", "error")}
+    return stats.daily(views.telemetry(spark, d).where("event_type <> 'click'"), "ts", AS_OF, kinds)
+
+
+def event_rates(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda k: F.count_if(F.col("event_type") == k)
+    return views.telemetry(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.round(stats.rate(of("error"), F.count("*")), 6).alias("error_rate"), F.round(stats.rate(of("purchase"), of("view")), 6).alias("purchase_rate"))
+
+
+def csat_summary(spark: SparkSession, d: str) -> DataFrame:
+    scores = views.telemetry(spark, d).where("event_type = 'view'").select(F.floor("value").cast("int").alias("score"))
+    return stats.satisfaction(scores, "score")
+
+
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    found = stats.latency(views.telemetry(spark, d), "value", F.col("event_type") == "error", ["user_id"])
+    return found.select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "error_rate")])
+
+
+def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(views.telemetry(spark, d), "value", "event_type").withColumn("bound", F.col("bound").cast("string")).select("event_type", F.when(F.col("bound") == "Infinity", "inf").otherwise(F.col("bound")).alias("bound"), "n")
+
+
+def source_facets(spark: SparkSession, d: str) -> DataFrame:
+    return stats.facets(table(spark, d, "documents"), "source")
+
+
+def latest_event(spark: SparkSession, d: str) -> DataFrame:
+    return views.telemetry(spark, d).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"), F.max_by(F.get_json_object("props", "$.k").cast("int"), "event_id").alias("k"))
+
+
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return audit.duplicate_groups(table(spark, d, "documents"), F.md5("text"), "doc_id").select(F.col("key").alias("text_md5"), "n", "first_id")
+
+
+def later_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return audit.later_duplicates(table(spark, d, "documents"), F.md5("text"), "doc_id")
+
+
+def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    return audit.duplicate_titles(views.assets(spark, d))
+
+
+def odd_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", audit.mojibake(F.col("text")).alias("mojibake"), F.round(audit.letter_share(F.col("text")), 6).alias("letter_share"))
+
+
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    return audit.search(table(spark, d, "documents"), "That SRC1 the", ["text", "source"]).select("doc_id")
+
+
+def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return audit.term_frequencies(table(spark, d, "documents"), "text")
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return audit.page_titles(table(spark, d, "pages"))
+
+
+def stock_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.stock_by_category(views.products(spark, d))
+
+
+def price_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.prices_by_category(views.products(spark, d))
+
+
+def category_listing(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.listing(views.products(spark, d))
+
+
+def product_page(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.first_page(views.products(spark, d))
+
+
+def order_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.order_summary(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def return_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("SO-"), F.col("l_orderkey") * 2).alias("order_no")).distinct()
+    return catalog.returnable(asked, table(spark, d, "orders"), F.lit("1998-01-10 00:00:00").cast("timestamp"))
+
+
+def never_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.never_ordered(views.products(spark, d), table(spark, d, "lineitem").where("l_quantity > 45"))
+
+
+def customer_orders(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.customer_orders(table(spark, d, "customer"), table(spark, d, "orders"))
+
+
+def stock_signals(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.signals(views.products(spark, d), table(spark, d, "lineitem"))
+
+
+def running_start(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
+    return catalog.running_start(lines)
+
+
+def even_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return limits.merged_evenly(views.telemetry(spark, d), "user_id", "event_id", 10)
+
+
+def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
+    return limits.limited(views.telemetry(spark, d), "user_id", "ts", "event_id", 3, 21600.0)
+
+
+def pause_segments(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return limits.segments(views.telemetry(spark, d).select("user_id", at.alias("s"), (at + F.col("value")).alias("e")), "user_id", "s", "e", 3600.0, 43200.0)
+
+
+def label_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and language with their judgements; documents without any count too."""
+    met = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
+    return met.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count("quality").alias("judged"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.sum("n_chars").alias("chars"))
+
+
+QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
+    lexical_top_k, retrieve_top_k, retrieval_metrics, title_idf, title_affinity, chunk_coverage, unknown_terms, rank_fusion, linear_fusion, nearest_vectors,
+    document_chunks, document_tokens, redact_documents, contact_mask, normalised_text, knowledge_gaps, first_question, last_question, prev_user_question,
+    next_assistant_reply, recent_turns, backflow_transcript, unanswered_questions, session_list, visit_sessions, event_islands, daily_zero_fill, event_rates,
+    csat_summary, latency_percentiles, latency_histogram, source_facets, latest_event, exact_duplicates, later_duplicates, duplicate_titles, odd_texts,
+    search_documents, term_frequencies, page_titles, stock_summary, price_summary, category_listing, product_page, order_summary, return_eligibility,
+    never_ordered, customer_orders, stock_signals, running_start, even_buckets, rate_limiter, pause_segments, label_quality,
+)}
