@@ -10,7 +10,10 @@ from vergence.functions.text import masked, shortened
 
 #: Fixed value: turns that a session's memory holds.
 MEMORY_TURNS = 4
-ASC = W.partitionBy("session_id").orderBy("id")
+
+
+def in_order():
+    return W.partitionBy("session_id").orderBy("id")
 
 
 def first_question(messages: DataFrame) -> DataFrame:
@@ -24,20 +27,20 @@ def last_question(messages: DataFrame) -> DataFrame:
 
 def previous_question(messages: DataFrame) -> DataFrame:
     """(id, session_id, question): each agent message with the last customer message before it; null without one."""
-    before = ASC.rowsBetween(W.unboundedPreceding, -1)
+    before = in_order().rowsBetween(W.unboundedPreceding, -1)
     carried = messages.withColumn("question", F.last(F.when(F.col("role") == "customer", F.col("content")), ignorenulls=True).over(before))
     return carried.where("role = 'agent'").select("id", "session_id", "question")
 
 
 def next_reply(messages: DataFrame) -> DataFrame:
     """(id, session_id, reply_id): each customer message with the next agent message of its session."""
-    after = ASC.rowsBetween(1, W.unboundedFollowing)
+    after = in_order().rowsBetween(1, W.unboundedFollowing)
     return messages.withColumn("reply_id", F.first(F.when(F.col("role") == "agent", F.col("id")), ignorenulls=True).over(after)).where("role = 'customer'").select("id", "session_id", "reply_id")
 
 
 def recent_turns(messages: DataFrame, turns: int = MEMORY_TURNS) -> DataFrame:
     """(session_id, nth, question_id, answer_id): the last answered turns, oldest first; the question is the row right before."""
-    paired = messages.select("session_id", "id", "role", F.lag("role").over(ASC).alias("before"), F.lag("id").over(ASC).alias("question_id")).where("role = 'agent' and before = 'customer'")
+    paired = messages.select("session_id", "id", "role", F.lag("role").over(in_order()).alias("before"), F.lag("id").over(in_order()).alias("question_id")).where("role = 'agent' and before = 'customer'")
     newest = paired.withColumn("_back", F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("id")))).where(F.col("_back") <= turns)
     return newest.select("session_id", F.row_number().over(W.partitionBy("session_id").orderBy("id")).alias("nth"), "question_id", F.col("id").alias("answer_id"))
 

@@ -74,7 +74,7 @@ NEXT = f"select id, session_id, role, min(case when role = 'agent' then id end)
 
 SQL: dict[str, str] = {
     "lexical_top_k": f"select query_id, rank, asset_id, seq, overlap, round(score, 6) as score from ({top(LEXICAL, 5, 'score', 'asset_id, seq')})",
-    "retrieve_top_k": f"""with scored as (select query_id, asset_id, seq, score * (1 + 3.0 * coalesce(affinity, 0)) as score from ({LEXICAL}) left join ({AFFINITY}) using (query_id, asset_id)),
+    "retrieve_top_k": f"""with scored as (select query_id, asset_id, seq, round(score * (1 + 3.0 * coalesce(affinity, 0)), 9) as score from ({LEXICAL}) left join ({AFFINITY}) using (query_id, asset_id)),
         best as (select b.*, chunk, row_number() over (partition by query_id, asset_id, chunk order by seq) as nth from ({top('select * from scored', 20, 'score', 'asset_id, seq')}) b join ({CHUNKS}) using (asset_id, seq))
         select query_id, place as rank, asset_id, seq, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, asset_id, chunk) as place from best where nth = 1) where place <= 5""",
     "retrieval_metrics": f"""with ranked as ({top(LEXICAL, 3, 'score', 'asset_id, seq')}),
