@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from vergence.llm.common import NEAR_PERCENT, SHINGLE_WORDS, cut
 from vergence.llm.nearlinks import similarity_components
 
-#: A pair at 75 % similarity shares no band of 48 in one case of a thousand, one at 80 % in one of 80,000.
-BANDS, BAND_VALUES = 48, 7
+#: A pair at 75 % similarity shares no band of 28 in one case of two thousand, one at 80 % in one of 70,000.
+BANDS, BAND_VALUES = 28, 5
 _KEPT_WORDS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
