@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vergence.functions import text
-from vergence.operators import audit, catalog, evaluation, limits, retrieval, sessions, stats
+from vergence.functions import fields, labels, text
+from vergence.operators import audit, catalog, evaluation, governance, limits, retrieval, sessions, stats
 from vergence.plans import sql
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
@@ -267,11 +267,122 @@ def label_quality(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count("quality").alias("judged"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"), F.sum("n_chars").alias("chars"))
 
 
+def event_id_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return governance.id_ranges(views.telemetry(spark, d), "event_type", "event_id", "H")
+
+
+def training_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Answered questions as samples, masked."""
+    asked = views.messages(spark, d)
+    turns = sessions.recent_turns(asked, 1_000)
+    text_of = asked.select("id", "content")
+    pairs = turns.join(text_of.select(F.col("id").alias("question_id"), F.col("content").alias("q")), "question_id").join(text_of.select(F.col("id").alias("answer_id"), F.col("content").alias("a")), "answer_id")
+    samples = governance.training_samples(pairs.select(F.col("session_id").alias("asset_id"), F.array(F.struct("q", "a")).alias("qa_pairs"), "answer_id").select("asset_id", "qa_pairs"))
+    return samples.groupBy("asset_id").agg(F.count("*").alias("n"), F.sum(F.length("instruction") + F.length("output")).alias("chars"))
+
+
+def refusal_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Error events as refusals: equal questions are one gap; a purchase by the same user has answered it."""
+    events = views.telemetry(spark, d).withColumn("question", F.concat(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("？ ")))
+    key = text.question_key(F.col("question"))
+    gaps = governance.gaps_opened(events.where("event_type = 'error'"), key, "event_id")
+    return governance.gaps_closed(gaps, events.where("event_type = 'purchase' and value > 40").select(key.alias("question_key"))).select("question_key", "hit_count", "opened", "status")
+
+
+def citation_lineage(spark: SparkSession, d: str) -> DataFrame:
+    cited = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("asset_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("message_id")).distinct()
+    return governance.citation_lineage(cited)
+
+
+def down_voted(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as messages that cite their parts; urgent ones are voted down."""
+    cites = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("asset_id"))).alias("citations"))
+    votes = table(spark, d, "orders").join(cites, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_orderpriority") != "1-URGENT").alias("helpful"), "citations")
+    return governance.down_voted(votes, table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_name").alias("title")), 10)
+
+
+def topic_groups(spark: SparkSession, d: str) -> DataFrame:
+    return governance.topic_groups(views.assets(spark, d), {"a": ["tion", "ment"], "b": ["ing"], "c": ["schl", "keit"]})
+
+
+def json_filter(spark: SparkSession, d: str) -> DataFrame:
+    return views.telemetry(spark, d).where(F.coalesce(F.get_json_object("props", "$.k").cast("int") == 42, F.lit(False))).select("event_id", "user_id")
+
+
+def work_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the queue's parts by source, in one pass."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return docs.groupBy("source").agg(F.count_if(F.col("quality").isNull()).alias("pending"), F.count_if(F.col("quality") == 1).alias("published"), F.count_if(F.coalesce(F.col("quality") == 0, F.lit(False)) & (F.col("toxic") == 0)).alias("ingested"))
+
+
+def supply_by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with the names of their supplier's nation and region."""
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))  # before the joins
+    named = lines.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.groupBy("r_name", "n_name").agg(F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity"))
+
+
+def idle_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers without orders and without large lines, in two anti joins."""
+    orders = table(spark, d, "orders")
+    large = orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(large, "c_custkey", "left_anti").join(urgent, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+def top_orders(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), F.desc("o_orderdate"), F.desc("o_orderkey")).limit(20).select("o_orderkey", "o_totalprice")
+
+
+def age_buckets(spark: SparkSession, d: str) -> DataFrame:
+    hours = (F.unix_seconds(F.lit(AS_OF).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600
+    return views.telemetry(spark, d).groupBy("event_type", governance.age_bucket(hours).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def next_version(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.max("l_linenumber") + 1).alias("version_no"), F.min("l_linenumber").alias("first"))
+
+
+def timecodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.telemetry(spark, d).select("event_id", fields.clip_bounds(F.col("event_id") * 7.25, F.col("event_id") * 7.25 + F.col("value")).alias("c"))
+    return rows.select("event_id", "c.start", "c.end", fields.timecode_seconds(F.col("c.start")).alias("start_s"))
+
+
+def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.telemetry(spark, d).select("event_id", fields.sample_points(F.col("value"), 2.0, 12).alias("p"))
+    return rows.select("event_id", F.size("p").alias("n"), F.floor(F.coalesce(F.array_max("p"), F.lit(0.0)) + 0.0005).cast("int").alias("last"))
+
+
+def question_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Messages by the classifiers' labels."""
+    asked = views.messages(spark, d).where("role = 'customer'")
+    q = F.col("content")
+    return asked.groupBy(F.coalesce(labels.catalog_intent(q), F.lit("none")).alias("intent"), labels.wants_return(q).alias("wants_return"), labels.scope_kind(q, F.lit(False)).alias("scope")).agg(F.count("*").alias("n"))
+
+
+def common_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by host: count, the most frequent title (the first of equals)."""
+    titles = audit.page_titles(table(spark, d, "pages")).groupBy("host", "title").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    return titles.groupBy("host").agg(F.sum("n").alias("n"), F.max_by("first", F.struct("n", -F.col("first"))).alias("page_id"))
+
+
+def hourly_kinds(spark: SparkSession, d: str) -> DataFrame:
+    hours = views.telemetry(spark, d).groupBy(F.date_trunc("hour", "ts").alias("hour")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count("event_id"))
+    return hours.na.fill(0)
+
+
+def events_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by user and kind, by user, and of all."""
+    return views.telemetry(spark, d).rollup("user_id", "event_type").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
 QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
     lexical_top_k, retrieve_top_k, retrieval_metrics, title_idf, title_affinity, chunk_coverage, unknown_terms, rank_fusion, linear_fusion, nearest_vectors,
     document_chunks, document_tokens, redact_documents, contact_mask, normalised_text, knowledge_gaps, first_question, last_question, prev_user_question,
     next_assistant_reply, recent_turns, backflow_transcript, unanswered_questions, session_list, visit_sessions, event_islands, daily_zero_fill, event_rates,
     csat_summary, latency_percentiles, latency_histogram, source_facets, latest_event, exact_duplicates, later_duplicates, duplicate_titles, odd_texts,
     search_documents, term_frequencies, page_titles, stock_summary, price_summary, category_listing, product_page, order_summary, return_eligibility,
-    never_ordered, customer_orders, stock_signals, running_start, even_buckets, rate_limiter, pause_segments, label_quality,
+    never_ordered, customer_orders, stock_signals, running_start, even_buckets, rate_limiter, pause_segments, label_quality, event_id_ranges, training_pairs,
+    refusal_gaps, citation_lineage, down_voted, topic_groups, json_filter, work_queue, supply_by_nation, idle_customers, top_orders, age_buckets, next_version,
+    timecodes, sampled_frames, question_kinds, common_questions, hourly_kinds, events_by_level,
 )}

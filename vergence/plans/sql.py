@@ -151,4 +151,35 @@ SQL: dict[str, str] = {
     "even_buckets": """select user_id, bucket, count(*) as n, min(event_id) as first from (select user_id, event_id, cast(case when total <= 10 then nth else floor(nth * 10 / total) end as int) as bucket
         from (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as nth, count(*) over (partition by user_id) as total from events)) group by user_id, bucket""",
     "label_quality": "select source, lang, count(*) as n, count(quality) as judged, sum(quality)::bigint as good, sum(toxic)::bigint as toxic, sum(n_chars)::bigint as chars from documents left join labels using (doc_id) group by source, lang",
+    "event_id_ranges": """with runs as (select event_type, min(event_id) as first, max(event_id) as last from (select event_type, event_id, event_id - row_number() over (partition by event_type order by event_id) as run from events) group by event_type, run)
+        select event_type, string_agg(case when first = last then 'H-' || lpad(first::varchar, greatest(4, length(first::varchar))::int, '0') else 'H-' || lpad(first::varchar, greatest(4, length(first::varchar))::int, '0') || '–H-' || lpad(last::varchar, greatest(4, length(last::varchar))::int, '0') end, '、' order by first) as ranges from runs group by event_type""",
+    "training_pairs": f"""with paired as (select session_id, role, content as a, lag(role) over w as before, lag(content) over w as q from ({MESSAGES}) window w as (partition by session_id order by id))
+        select session_id as asset_id, count(*) as n, sum(length({mask('q')}) + length({mask('a')}))::bigint as chars from paired where role = 'agent' and before = 'customer' and trim(q) <> '' and trim(a) <> '' group by session_id""",
+    "refusal_gaps": """with e as (select *, 'k' || json_extract_string(props, '$.k') as question_key from events)
+        select question_key, count(*) as hit_count, min(event_id) as opened, case when question_key in (select question_key from e where event_type = 'purchase' and value > 40) then 'resolved' else 'open' end as status
+        from e where event_type = 'error' group by question_key""",
+    "citation_lineage": """with cited as (select distinct l_suppkey as asset_id, l_orderkey * 10 + l_linenumber as message_id from lineitem where l_returnflag = 'R')
+        select asset_id, total, nth, message_id from (select *, count(*) over (partition by asset_id) as total, row_number() over (partition by asset_id order by message_id desc) as nth from cited) where nth <= 10""",
+    "down_voted": """select l_partkey as asset_id, count(distinct l_orderkey) as n, any_value(p_name) as title from lineitem join orders on l_orderkey = o_orderkey left join part on p_partkey = l_partkey
+        where o_orderpriority = '1-URGENT' group by l_partkey order by n desc, asset_id limit 10""",
+    "topic_groups": f"""with met as (select 'a' as topic, asset_id from ({ASSETS}) where regexp_matches(title, 'tion|ment') union all select 'b', asset_id from ({ASSETS}) where regexp_matches(title, 'ing') union all select 'c', asset_id from ({ASSETS}) where regexp_matches(title, 'schl|keit'))
+        select topic, asset_id, count(*) over (partition by topic) as n from met qualify n > 1""",
+    "json_filter": "select event_id, user_id from events where cast(json_extract_string(props, '$.k') as int) = 42",
+    "work_queue": "select source, count(*) filter (quality is null) as pending, count(*) filter (quality = 1) as published, count(*) filter (quality = 0 and toxic = 0) as ingested from documents left join labels using (doc_id) group by source",
+    "supply_by_nation": "select r_name, n_name, count(*) as lines, sum(l_quantity) as quantity from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name, n_name",
+    "idle_customers": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000 or o_orderpriority = '1-URGENT')",
+    "top_orders": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderdate desc, o_orderkey desc limit 20",
+    "age_buckets": f"select event_type, case when h >= 120 then '≥5 天' when h >= 24 then '1–5 天' else '24h 内' end as bucket, count(*) as n from (select event_type, (epoch({AS_OF}) - floor(epoch(ts))) / 3600 as h from events) group by 1, 2",
+    "next_version": "select l_orderkey, max(l_linenumber) + 1 as version_no, min(l_linenumber) as first from lineitem group by l_orderkey",
+    "timecodes": """with b as (select event_id, floor(event_id * 7.25::double)::bigint as s, greatest(ceil(event_id * 7.25::double + value), floor(event_id * 7.25::double) + 1)::bigint as e from events)
+        select event_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) as start, printf('%02d:%02d:%02d', e // 3600, (e // 60) % 60, e % 60) as end, s as start_s from b""",
+    "sampled_frames": """with x as (select event_id, value, greatest(2.0::double, value / 12) as step from events), y as (select *, case when value > 0 then least(12, ceil(value / step))::int else 0 end as n from x)
+        select event_id, n, floor(case when n > 0 then (n - 1) * step else 0 end + 0.0005)::int as last from y""",
+    "question_kinds": f"select 'none' as intent, false as wants_return, 'not_scope' as scope, count(*) as n from ({MESSAGES}) where role = 'customer'",
+    "common_questions": f"""with t as (PAGES), g as (select host, title, count(*) as n, min(page_id) as first from t group by host, title)
+        select host, sum(n)::bigint as n, arg_max(first, n * 1000000000 - first) as page_id from g group by host""",
+    "hourly_kinds": """select date_trunc('hour', ts) as hour, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'error') as error, count(*) filter (event_type = 'purchase') as purchase,
+        count(*) filter (event_type = 'signup') as signup, count(*) filter (event_type = 'view') as view from events group by 1""",
+    "events_by_level": "select user_id, event_type, count(*) as n, grouping_id(user_id, event_type) as level from events group by rollup (user_id, event_type)",
 }
+SQL["common_questions"] = SQL["common_questions"].replace("PAGES", SQL["page_titles"])
