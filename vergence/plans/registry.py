@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergence.functions import fields, labels, text
-from vergence.operators import audit, catalog, evaluation, governance, limits, retrieval, sessions, stats
+from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats
 from vergence.plans import sql
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
@@ -376,6 +376,42 @@ def events_by_level(spark: SparkSession, d: str) -> DataFrame:
     return views.telemetry(spark, d).rollup("user_id", "event_type").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
+def _lexical_assets(spark: SparkSession, d: str) -> DataFrame:
+    bodies = views.assets(spark, d).select("asset_id", F.col("body").alias("chunk"))
+    return retrieval.top_k(retrieval.lexical_scores(views.questions(spark, d), bodies, ["asset_id"]), 10, "asset_id").select("query_id", "asset_id", "score", "rank")
+
+
+def cascade(spark: SparkSession, d: str) -> DataFrame:
+    titled = retrieval.title_affinity(views.questions(spark, d), views.assets(spark, d)).select("query_id", "asset_id", F.round("affinity", 6).alias("score"))
+    dense = retrieval.top_k(titled, 10, "asset_id").select("query_id", "asset_id", F.col("score").alias("cos"))
+    return ranking.cascade(_lexical_assets(spark, d), dense, "asset_id", 2.5, 5)
+
+
+def affinity_after(spark: SparkSession, d: str) -> DataFrame:
+    affinity = retrieval.title_affinity(views.questions(spark, d), views.assets(spark, d)).withColumn("affinity", F.round("affinity", 6))
+    return ranking.affinity_after(_lexical_assets(spark, d), affinity, 5).select("query_id", "rank", "asset_id", F.round("final", 6).alias("final"))
+
+
+def affinity_ties(spark: SparkSession, d: str) -> DataFrame:
+    affinity = retrieval.title_affinity(views.questions(spark, d), views.assets(spark, d)).withColumn("affinity", F.round("affinity", 6))
+    return ranking.affinity_after(_lexical_assets(spark, d), affinity, 5, digits=1).select("query_id", "rank", "asset_id")
+
+
+def shared_words(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.shared_words(views.chunks(spark, d), "^[a-z]{4,}$", 30)
+
+
+def without_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of pages as questions."""
+    asked = audit.page_titles(table(spark, d, "pages")).select(F.col("page_id").alias("query_id"), F.substring("title", 1, 12).alias("question"))
+    return ranking.without_evidence(asked, views.chunks(spark, d).where("asset_id % 7 = 0"))
+
+
+def unknown_words(spark: SparkSession, d: str) -> DataFrame:
+    asked = audit.page_titles(table(spark, d, "pages")).select(F.col("page_id").alias("query_id"), F.col("title").alias("question"))
+    return ranking.unknown_words(asked, views.chunks(spark, d))
+
+
 QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
     lexical_top_k, retrieve_top_k, retrieval_metrics, title_idf, title_affinity, chunk_coverage, unknown_terms, rank_fusion, linear_fusion, nearest_vectors,
     document_chunks, document_tokens, redact_documents, contact_mask, normalised_text, knowledge_gaps, first_question, last_question, prev_user_question,
@@ -384,5 +420,6 @@ QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
     search_documents, term_frequencies, page_titles, stock_summary, price_summary, category_listing, product_page, order_summary, return_eligibility,
     never_ordered, customer_orders, stock_signals, running_start, even_buckets, rate_limiter, pause_segments, label_quality, event_id_ranges, training_pairs,
     refusal_gaps, citation_lineage, down_voted, topic_groups, json_filter, work_queue, supply_by_nation, idle_customers, top_orders, age_buckets, next_version,
-    timecodes, sampled_frames, question_kinds, common_questions, hourly_kinds, events_by_level,
+    timecodes, sampled_frames, question_kinds, common_questions, hourly_kinds, events_by_level, cascade, affinity_after, affinity_ties, shared_words,
+    without_evidence, unknown_words,
 )}

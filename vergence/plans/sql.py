@@ -183,3 +183,21 @@ SQL: dict[str, str] = {
     "events_by_level": "select user_id, event_type, count(*) as n, grouping_id(user_id, event_type) as level from events group by rollup (user_id, event_type)",
 }
 SQL["common_questions"] = SQL["common_questions"].replace("PAGES", SQL["page_titles"])
+_AFTER = f"select l.query_id, l.asset_id, l.score, coalesce(round(affinity, 6), 0) as affinity from ({LEX10}) l left join ({AFFINITY}) a on a.query_id = l.query_id and a.asset_id = l.asset_id"
+SQL |= {
+    "cascade": f"""with lex as ({LEX10}), vec as (select * from ({AFF10}) where query_id not in (select query_id from lex where score >= 2.5)),
+        both_ as (select query_id, asset_id, 1 as part, rank::double as place from lex l where not exists (select 1 from vec v where v.query_id = l.query_id and v.asset_id = l.asset_id) union all select query_id, asset_id, 0, -score from vec)
+        select query_id, asset_id, rank from (select query_id, asset_id, row_number() over (partition by query_id order by part, place, asset_id) as rank from both_) where rank <= 5""",
+    "affinity_after": f"select query_id, rank, asset_id, round(final, 6) as final from ({top(f'select query_id, asset_id, round(score * (1 + 3.0 * affinity), 9) as final from ({_AFTER})', 5, 'final', 'asset_id')})",
+    "affinity_ties": f"select query_id, rank, asset_id from (select query_id, asset_id, row_number() over (partition by query_id order by round(score, 1) desc, affinity desc, score desc, asset_id) as rank from ({_AFTER})) where rank <= 5",
+    "shared_words": f"""with p as (select asset_id, len(t) as n, unnest(t) as term from (select asset_id, {terms('chunk')} as t from ({CHUNKS}))),
+        scored as (select term, asset_id, max(1 / sqrt(n)) as score from p where regexp_matches(term, '^[a-z]{{4,}}$') group by term, asset_id),
+        words as (select term, count(*) as support from scored group by term having count(*) > 1 order by support desc, term limit 30),
+        two as (select *, row_number() over (partition by term order by asset_id) as nth from scored join words using (term))
+        select term as word, support, asset_id from (select *, row_number() over (partition by term order by score desc, asset_id) as best from two where nth <= 2) where best = 1""",
+    "without_evidence": f"""with q as (select page_id as query_id, unnest({terms('substring(title, 1, 12)')}) as term from ({SQL['page_titles']})), corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}) where asset_id % 7 = 0)
+        select query_id from q group by query_id having count(*) filter (term in (select term from corpus)) = 0""",
+    "unknown_words": f"""with q as (select query_id, unnest(w) as term, unnest(range(0, len(w))) as pos from (select page_id as query_id, regexp_extract_all(lower(title), '[a-z]+') as w from ({SQL['page_titles']}))),
+        corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}))
+        select query_id, term as word from (select *, row_number() over (partition by query_id order by length(term) desc, pos) as n from q where length(term) >= 4 and term not in (select term from corpus)) where n = 1""",
+}
