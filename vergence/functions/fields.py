@@ -94,3 +94,32 @@ def sample_points(duration: Column, interval: float, cap: int) -> Column:
 
 def citation_key(text: Column) -> Column:
     return F.md5(text)
+
+
+def inherited(confirmed: Column) -> Column:
+    """Of a map to structs with a value: the filled ones, marked as inherited."""
+    kept = F.map_filter(confirmed, lambda _, v: filled(v["value"]).isNotNull())
+    return F.transform_values(kept, lambda _, v: F.struct(v["value"].alias("value"), F.lit(True).alias("inherited")))
+
+
+def masked_values(values: Column, mask) -> Column:
+    """A map of strings with each value masked."""
+    return F.transform_values(values, lambda _, v: mask(v))
+
+
+def with_key(values: Column, key: str, value: Column) -> Column:
+    """A map with the key set, whether it was there or not."""
+    return F.map_concat(without_keys(values, [key]), F.create_map(F.lit(key), value))
+
+
+def without_keys(values: Column, keys: list[str]) -> Column:
+    return F.map_filter(values, lambda k, _: ~k.isin(*keys))
+
+
+#: Keys of an order that hold contacts.
+CONTACT_KEYS = ["phone", "mobile", "email", "contact", "address", "receiver", "name"]
+
+
+def without_contacts(entries: Column, mask) -> Column:
+    """An array of string maps without their contact keys and with masked values."""
+    return F.transform(entries, lambda e: masked_values(without_keys(e, CONTACT_KEYS), mask))

@@ -112,3 +112,63 @@ def rolled_back(versions: DataFrame, assets: DataFrame, target: DataFrame) -> Da
     open_ = versions.where("published_at is null").select("asset_id").distinct()
     asked = versions.where("published_at is not null").join(target, ["asset_id", "version_no"]).select("asset_id", F.col("version_id").alias("_to"))
     return assets.join(asked, "asset_id").where("_to <> current_version_id").join(open_, "asset_id", "left_anti").withColumn("current_version_id", F.col("_to")).drop("_to")
+
+
+def current_version(assets: DataFrame, versions: DataFrame) -> DataFrame:
+    """(asset_id, version_no): the version pointed to, else the first one."""
+    met = versions.join(assets.select("asset_id", "current_version_id"), "asset_id")
+    pointed = F.max(F.when(F.col("version_id") == F.col("current_version_id"), F.col("version_no")))
+    return met.groupBy("asset_id").agg(F.coalesce(pointed, F.min("version_no")).alias("version_no"))
+
+
+def asset_list(assets: DataFrame, versions: DataFrame, products: DataFrame) -> DataFrame:
+    """(asset_id, title, product, version_no, revising): revising assets are published and have a version that isn't."""
+    pointed = versions.select(F.col("version_id").alias("current_version_id"), "version_no")
+    open_ = versions.where("published_at is null").select("asset_id").distinct().withColumn("_open", F.lit(True))
+    met = assets.join(pointed, "current_version_id", "left").join(open_, "asset_id", "left").join(products.select("product_id", F.col("name").alias("product")), "product_id", "left")
+    return met.select("asset_id", "title", "product", "version_no", (F.col("current_version_id").isNotNull() & F.col("_open").isNotNull()).alias("revising"))
+
+
+def asset_detail(assets: DataFrame, versions: DataFrame) -> DataFrame:
+    """(asset_id, versions): numbers in ascending order with whether they are published; as many as an asset has."""
+    return versions.join(assets.select("asset_id"), "asset_id").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("version_no", F.col("published_at").isNotNull().alias("published")))).alias("versions"))
+
+
+def judge_summary(verdicts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, judged, supported, failed, rate): the rate over judged rows alone."""
+    judged, supported = F.count("supported"), F.count_if(F.col("supported"))
+    return verdicts.groupBy(*by).agg(judged.alias("judged"), supported.alias("supported"), (judged - supported).alias("failed"), F.try_divide(supported, judged).alias("rate"))
+
+
+def level_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(change, n): cases gained, lost or kept between two levels (key, hit)."""
+    met = before.select(key, F.col("hit").alias("_a")).join(after.select(key, F.col("hit").alias("_b")), key)
+    change = F.when(~F.col("_a") & F.col("_b"), "gained").when(F.col("_a") & ~F.col("_b"), "lost").otherwise("kept")
+    return met.groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+
+
+def usage_totals(calls: DataFrame) -> DataFrame:
+    """(model, direction, tokens): calls without usage don't count."""
+    rows = calls.where("prompt_tokens is not null and completion_tokens is not null")
+    pairs = F.array(F.struct(F.lit("prompt").alias("direction"), F.col("prompt_tokens").alias("tokens")), F.struct(F.lit("completion").alias("direction"), F.col("completion_tokens").alias("tokens")))
+    return rows.select("model", F.explode(pairs).alias("p")).groupBy("model", "p.direction").agg(F.sum("p.tokens").alias("tokens"))
+
+
+def evidence_lines(hits: DataFrame) -> DataFrame:
+    """(query_id, evidence): `[A-id·vN] title：chunk` of each hit in order, without brackets and runs of blanks inside."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(masked(F.col(c)), r"[「」\[\]【】]", ""), r"\s+", " "))
+    line = F.concat(F.lit("[A-"), F.col("asset_id").cast("string"), F.lit("·v"), F.col("version_no").cast("string"), F.lit("] "), plain("title"), F.lit("："), plain("chunk"))
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("r")).select("query_id", F.array_join("r.line", "\n").alias("evidence"))
+
+
+def batches(rows: DataFrame, by: str, order: str, size: int = 200) -> DataFrame:
+    """rows with batch: even parts of at most `size` consecutive rows of each group."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
+
+
+def first_matching_rule(rules: list[tuple[Column, str]], otherwise: Column) -> Column:
+    """The label of the first rule that holds; the order matters."""
+    label = F.lit(None)
+    for condition, name in reversed(rules):
+        label = F.when(condition, F.lit(name)).otherwise(label)
+    return F.coalesce(label, otherwise)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,3 +75,39 @@ def sessionised(events: DataFrame, key: str, ts: str, gap_minutes: int) -> DataF
     fresh = (F.col(ts) - F.lag(ts).over(w) > F.expr(f"interval {gap_minutes} minutes")).cast("int")
     numbered = events.withColumn("session", F.sum(F.coalesce(fresh, F.lit(0))).over(w))
     return numbered.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
+
+
+def kept_for_backflow(messages: DataFrame) -> DataFrame:
+    """messages (with kind) without refusals and hand-offs and the customer message that each of them answers; a session of which nothing would be left keeps its customer messages."""
+    before = in_order().rowsBetween(W.unboundedPreceding, -1)
+    refused = F.col("role").eqNullSafe("agent") & F.coalesce(F.col("kind").isin("refusal", "handoff"), F.lit(False))
+    asked = F.last(F.when(F.col("role") == "customer", F.col("id")), ignorenulls=True).over(before)
+    answered = F.last(F.when(F.col("role") == "agent", F.col("id")), ignorenulls=True).over(before)
+    marked = messages.withColumn("_refused", refused).withColumn("_asked", F.when(refused & (answered.isNull() | (asked > answered)), asked))
+    gone = marked.where("_refused").select(F.explode(F.array_compact(F.array("id", "_asked"))).alias("id")).distinct().withColumn("_gone", F.lit(True))
+    met = marked.drop("_asked").join(gone, "id", "left").withColumn("_kept", F.col("_gone").isNull())
+    met = met.withColumn("_any", F.max("_kept").over(W.partitionBy("session_id")))
+    return met.where("_kept or (not _any and role = 'customer')").select(*messages.columns)
+
+
+def last_tool_subject(messages: DataFrame, tools: tuple[str, ...] = ("catalog", "get_stock")) -> DataFrame:
+    """(session_id, subject): what the last of the tools was asked about, but for blanks and `-`."""
+    used = messages.where(F.col("tool.name").isin(*tools) & (F.trim("tool.arg") != "") & (F.trim("tool.arg") != "-"))
+    return used.groupBy("session_id").agg(F.max_by("tool.arg", "id").alias("subject"))
+
+
+def expanded_question(question: Column, previous: Column, pronouns: str = "它|这个|那个|这款|那款|刚才") -> Column:
+    """The previous question before one that holds a pronoun."""
+    return F.when(question.rlike(pronouns) & previous.isNotNull(), F.concat_ws(" ", previous, question)).otherwise(question)
+
+
+def larger_pool(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(question, n) of both pools, with the larger count of each question."""
+    return a.unionByName(b).groupBy("question").agg(F.max("n").alias("n"))
+
+
+def one_ticket(requests: DataFrame) -> DataFrame:
+    """(session_id, ticket, message, contact): one ticket for each session, with its first message, its last contact and a number by its first id."""
+    made = requests.groupBy("session_id").agg(F.min("id").alias("id"), F.min_by("message", "id").alias("message"), F.max_by("contact", F.when(F.col("contact").isNotNull(), F.col("id"))).alias("contact"))
+    number = F.col("id").cast("string")
+    return made.select("session_id", F.concat(F.lit("H-"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("ticket"), "message", "contact")
