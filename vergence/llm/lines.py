@@ -18,13 +18,12 @@ from vergence.llm.common import NEAR_PERCENT, cut, sized_broadcast, stored
 
 #: Words of the shortest line that is compared.
 LEAST_WORDS = 5
-#: Counters that the words' hashes share, and how finely their logarithms are told apart.
+#: Counters that the words' hashes share, a power of two, and how finely their logarithms are told apart.
 COUNTERS, STEPS = 1 << 18, 3
+#: The part of a set, its rarest words, by which further pairs are compared before their whole sets are.
+HEAD = 6
 _HASH_BITS = 56
-
-
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), "")
+_BLANKS = "\t\x0b\x0c\r"
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -32,15 +31,24 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, at, line) of the lines that may be long enough."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
+    """(doc_id, key, at, line) of the lines that may be long enough, in lower case with spaces alone between words."""
+    odd = F.lit(False)
+    for blank in _BLANKS:
+        odd = odd | F.contains(text_col, F.lit(blank))
+    even = F.lower(F.when(odd, F.translate(text_col, _BLANKS, " " * len(_BLANKS))).otherwise(F.col(text_col)))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("key"), F.posexplode(F.split(even, "\n")).alias("at", "line"))
     return rows.where(F.length("line") >= 2 * LEAST_WORDS - 1)
 
 
+def _counter(h: Column, counters: int) -> Column:
+    """The counter, one of a power of two, by a hash's high bits."""
+    return F.shiftrightunsigned(h, 65 - counters.bit_length())
+
+
 def _rarities(lines: DataFrame, counters: int) -> bytes:
     """A byte for each counter that grows with the logarithm of the words counted there."""
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(counters)).cast("int").alias("counter")).agg(F.count("*").alias("n"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("word"))
+    counts = words.groupBy(_counter(F.xxhash64("word"), counters).cast("int").alias("counter")).agg(F.count("*").alias("n"))
     every = counts.unionByName(lines.sparkSession.range(counters).select(F.col("id").cast("int").alias("counter"), F.lit(0).cast("long").alias("n")))
     ranks = every.groupBy("counter").agg(F.sum("n").alias("n")).select("counter", F.least(F.lit(127), F.round(STEPS * F.log2(F.col("n") + 1))).cast("int").alias("rank"))
     ordered = F.array_sort(F.collect_list(F.struct("counter", "rank")))  # of fixed size
@@ -49,9 +57,13 @@ def _rarities(lines: DataFrame, counters: int) -> bytes:
 
 def line_set(line: Column, rarities: bytes) -> Column:
     """The distinct words as numbers whose order is that of rarity: the counter's byte before 56 bits of hash."""
-    counter = lambda h: F.substring(F.lit(rarities), (F.pmod(h, F.lit(len(rarities))) + 1).cast("int"), F.lit(1))
-    number = lambda h: F.shiftleft(F.ascii(counter(h).cast("string")).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), number)))
+
+    def number(h: Column) -> Column:
+        rank = F.ascii(F.substring(F.lit(rarities), (_counter(h, len(rarities)) + 1).cast("int"), F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+
+    words = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(words, number))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
@@ -59,15 +71,28 @@ def prefix_size(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def _pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of classes (class, n, prefix) that pass the prefix, length and positional filters."""
-    words = classes.select("class", "n", F.posexplode("prefix").alias("at", "word")).select("word", "class", "n", (F.col("n") - F.col("at")).alias("left"))
+def _half_map(members: Column, half: int) -> Column:
+    """One of the two halves of a map of 128 bits in which each number sets one."""
+    bit = lambda m: F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(members, F.lit(0).cast("long"), lambda acc, m: F.when(m.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseOR(bit(m))).otherwise(acc))
+
+
+def _pairs(lines: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of lines (line_id, n, low, high, prefix) that pass the prefix, length, positional and bit filters.
+
+    Of similar sets the shared words are at least t / (1 + t) of the sizes' sum.  They are at most
+    what is left from the first shared word on, and the words of one set alone are at least the
+    bits of one set alone.  The join's key is half a hash of the word: a chance meeting only adds
+    a pair to verify."""
+    words = lines.select("line_id", "n", "low", "high", F.posexplode("prefix").alias("at", "number"))
+    words = words.select(F.hash("number").alias("word"), "line_id", "n", "low", "high", (F.col("n") - F.col("at")).alias("left"))
     x, y = words.alias("x"), words.alias("y")
+    both = F.col("x.n") + F.col("y.n")
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    # both >= t / (1 + t) of the sizes' sum, and both <= what is left from the shared word on
-    places = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
-    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.class") < F.col("y.class")) & sizes & places)
-    return near.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    places = (100 + percent) * F.least("x.left", "y.left") >= percent * both
+    apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
+    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.line_id") < F.col("y.line_id")) & sizes & places & ((100 + percent) * apart <= (100 - percent) * both))
+    return near.select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS) -> DataFrame:
@@ -77,24 +102,46 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = _lines(docs, id_col, text_col)
     rarities = _rarities(texts, counters)
     sets = texts.select("doc_id", "key", "at", line_set(F.col("line"), rarities).alias("members")).where(F.size("members") >= LEAST_WORDS)
-    n = F.size("members")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at").alias("place")
-    lines = stored(sets.select("key", "at", place, F.xxhash64("members").alias("class"), n.alias("n"), F.slice("members", F.lit(1), prefix_size(n, percent)).alias("prefix")), "lines")
-
-    classes = cut(lines.groupBy("class").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    pairs = cut(_pairs(classes, percent))
-    firsts = classes.select("class", "first")
-    ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    named = cut(firsts.join(ids, "class", "left_semi").select("class", "first", F.col("first.key").alias("key"), F.col("first.at").alias("at")))
-    asked = texts.join(sized_broadcast(named, named.count()), ["key", "at"]).dropDuplicates(["class"])
-    full = cut(asked.select("class", "first", line_set(F.col("line"), rarities).alias("members")))
-    of_a = full.select(F.col("class").alias("a"), F.col("first").alias("first_a"), F.col("members").alias("of_a"))
-    of_b = full.select(F.col("class").alias("b"), F.col("first").alias("first_b"), F.col("members").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    similar = 100 * both >= percent * (F.size("of_a") + F.size("of_b") - both)
-    found = pairs.join(of_a, "a").join(of_b, "b").where(similar)
-    later = found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct().withColumn("later", F.lit(True))
-    return cut(lines.join(firsts.join(later, "class", "left"), "class").where("later or place <> first").select("key", "at"))
+    prefix = F.slice("members", F.lit(1), prefix_size(F.size("members"), percent))
+    lines = stored(sets.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "key", "at", F.xxhash64("members").alias("class"), F.size("members").alias("n"), _half_map(F.col("members"), 0).alias("low"), _half_map(F.col("members"), 1).alias("high"), prefix.alias("prefix")), "lines")
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
+    narrow = lines.select("line_id", "class", place.alias("place"))
+    firsts = narrow.groupBy("class").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
+    equal = cut(narrow.join(firsts, "class").where("place <> first").select("line_id", "place.key", "place.at"))
+    distinct = lines.join(sized_broadcast(equal.select("line_id"), equal.count()), "line_id", "left_anti")
+    pairs = cut(_pairs(distinct, percent))
+
+    ids = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
+    head = F.slice("prefix", F.lit(1), F.ceil(F.col("n") / HEAD).cast("int"))
+    named = cut(lines.select("line_id", "key", "at", place.alias("place"), "n", head.alias("head")).join(ids, "line_id", "left_semi"))
+    asked = texts.select("key", "at", "line").join(sized_broadcast(named.select("line_id", "key", "at"), named.count()), ["key", "at"]).dropDuplicates(["line_id"])  # rows that repeat have their lines once
+    full = cut(asked.select("line_id", line_set(F.col("line"), rarities).alias("members")))
+    of = lambda x: named.select(F.col("line_id").alias(x), F.struct("place", F.col("line_id").alias("id")).alias(f"of_{x}"))
+    directed = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("of_a", "of_b").alias("earlier"), F.greatest("of_a", "of_b")["id"].alias("later"))
+    directed = cut(directed)
+    # a line that is similar to its earliest candidate, as nearly all of a group of copies are, needs no other
+    first = _similar(directed.groupBy("later").agg(F.min("earlier")["id"].alias("earlier")), full, percent)
+    rest = directed.select("later", F.col("earlier.id").alias("earlier")).join(first.select("later"), "later", "left_anti")
+    later = first.unionByName(_similar(_by_heads(rest, named, percent), full, percent)).select(F.col("later").alias("line_id")).distinct()
+    return equal.select("key", "at").unionByName(named.join(later, "line_id", "left_semi").select("key", "at"))
+
+
+def _by_heads(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """The pairs (earlier, later) whose rarest words allow the similarity: these that they share, and all that lie behind in one set."""
+    of_a, of_b = (named.select(F.col("line_id").alias(x), F.struct("n", "head").alias(f"of_{x}")) for x in ("earlier", "later"))
+    behind = lambda x: F.col(f"{x}.n") - F.size(f"{x}.head")
+    most = F.size(F.array_intersect("of_earlier.head", "of_later.head")) + F.greatest(behind("of_earlier"), behind("of_later"))
+    met = pairs.join(of_a, "earlier").join(of_b, "later")
+    return cut(met.where((100 + percent) * most >= percent * (F.col("of_earlier.n") + F.col("of_later.n"))).select("earlier", "later"))
+
+
+def _similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (earlier, later) of similar sets."""
+    of_a, of_b = (full.select(F.col("line_id").alias(x), F.col("members").alias(f"of_{x}")) for x in ("earlier", "later"))
+    both = F.size(F.array_intersect("of_earlier", "of_later"))
+    similar = 100 * both >= percent * (F.size("of_earlier") + F.size("of_later") - both)
+    return cut(pairs.join(of_a, "earlier").join(of_b, "later").where(similar).select("earlier", "later"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS) -> DataFrame:
