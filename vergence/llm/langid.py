@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vergence.llm.common import cut
+from vergence.llm.common import cut, sized_broadcast
 
 ORDER = 4
 #: Characters of labelled text for each language that the models, and their calibration, are taken from.
@@ -166,7 +166,8 @@ class Scorer:
 
 def bounded_sample(rows: DataFrame, group: str, text_col: str, chars: int) -> DataFrame:
     """Rows of each group by their hash, at a rate at which about `chars` characters of it are taken."""
-    totals = rows.groupBy(group).agg(F.sum(F.length(text_col)).alias("_chars"))
+    totals = cut(rows.groupBy(group).agg(F.sum(F.length(text_col)).alias("_chars")))
+    totals = sized_broadcast(totals, totals.count())  # so that no row moves, whatever share a group has
     place = F.shiftrightunsigned(F.xxhash64(*rows.columns), 1) / float(1 << 63)
     return rows.join(totals, group).where(place * F.col("_chars") < chars).drop("_chars")
 
