@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vergence.llm.common import cut
+from vergence.llm.common import cut, sized_broadcast
 
 #: Most labelled rows that the model is fitted on, and the blocks that they are fitted in; one more block calibrates.
 SAMPLE_ROWS, BLOCKS = 20_000, 5
@@ -132,6 +132,14 @@ def _calibrated(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The columns of docs with label, of at most about sample_rows labelled rows by their hash; no document moves for it."""
+    known = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1))
+    rate = max(1, math.ceil(known.count() / sample_rows))
+    some = cut(known.where(F.pmod(F.xxhash64(F.lit("label"), id_col), F.lit(rate)) == 0))
+    return docs.drop("label").join(sized_broadcast(some, some.count()), id_col)
+
+
 def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS, blocks: int = BLOCKS, epochs: int = EPOCHS, cost: float = COST) -> Model:
     """The model of labelled rows (label 1 or 0; other and null labels are passed over), at most about sample_rows of them by their hash.
 
@@ -165,9 +173,15 @@ def fit(rows: DataFrame, text_col: str = "text", label_col: str = "label", sampl
     for r in parts:
         model.weights[r["slots"]] += np.asarray(r["weights"], np.float32) * (r["n"] / total)
         model.bias += r["bias"] * r["n"] / total
-    held = apart.collect()  # sample_rows / (blocks + 1) rows
+    whole = sample.sparkSession.sparkContext.broadcast(model)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"margin": [whole.value.margin(np.asarray(x, np.int64)) for x in pdf["slots"]], "label": pdf["label"]})
+
+    held = apart.select("slots", "label").mapInPandas(margins, "margin double, label int").collect()  # sample_rows / (blocks + 1) rows
     if held:
-        model.slope, model.shift = _calibrated(np.array([model.margin(np.asarray(r["slots"], np.int64)) for r in held]), np.array([1.0 if r["label"] else -1.0 for r in held]))
+        model.slope, model.shift = _calibrated(np.array([r["margin"] for r in held]), np.array([1.0 if r["label"] else -1.0 for r in held]))
     return model
 
 

@@ -61,7 +61,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    known = docs.join(labels.where(_fold(3) != 1).select("doc_id", F.col("quality").alias("label")), "doc_id")
+    known = quality.labelled(docs, labels.where(_fold(3) != 1), "doc_id", "quality")
     found = quality.score(docs, quality.fit(known))
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
