@@ -1,9 +1,9 @@
 """Byte-level BPE by a shuffle of distinct words.
 
 A pass over the texts splits them into pre-tokens and writes, for each block of documents, the
-block's distinct words once and each document as positions in that list.  The words of all blocks
-meet by word, each distinct one is encoded once, its ids go back to the blocks that have it, and
-every document is put together again by its positions.  Decoding looks each id up in the table of
+block's distinct words once, in lists by a hash of the word, and each document as numbers of words.
+The lists of all blocks meet by hash, each distinct word is encoded once, the ids go back to the
+blocks that have it, and every document is put together again by its numbers.  Decoding looks each id up in the table of
 token bytes, whose size the vocabulary bounds.
 """
 
@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from vergence.llm.common import stored
 
 #: Bytes of text after which a block of documents ends.
-BLOCK_BYTES = 24 << 20
-_LIST_WORDS = 8192
+BLOCK_BYTES = 10 << 20
+#: Rows that go to a Python worker at once.
+ROWS_AT_ONCE = 1000
+_BATCH, _ROW_CODES, _SLICE_ROWS = 512, 1 << 17, 256
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -67,34 +71,69 @@ class _Numbers(dict):
         return n
 
 
-def _blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
-    """Rows of a block: one for each document (doc_id, codes), then its distinct words (first, words)."""
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers as compressed byte planes; high planes of zeros cost next to nothing."""
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
-        words, block, size = _Numbers(), part << 32, 0
 
-        def lists() -> Iterator[pd.DataFrame]:
-            every = [w.encode("utf-8", "surrogatepass") for w in words]
-            for i in range(0, len(every), _LIST_WORDS):
-                yield pd.DataFrame({"block": [block], "doc_id": [None], "codes": [None], "first": [i], "words": [every[i : i + _LIST_WORDS]]})
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _joined(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """(lengths, contents), both compressed."""
+    return packed(np.fromiter(map(len, parts), np.uint32, len(parts))), zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _parted(lengths: bytes, contents: bytes) -> list[bytes]:
+    ends, data = np.cumsum(unpacked(lengths), dtype=np.int64).tolist(), zstandard.ZstdDecompressor().decompress(contents)
+    return [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+
+
+_BLOCK = "block long, doc_ids array<string>, codes binary, bucket int, lengths binary, contents binary"
+
+
+def _blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
+    """Rows of a block: (doc_ids, codes, lengths) of some documents, then its distinct words by bucket, then each word's bucket.
+
+    Codes number a block's words by falling frequency; within a bucket the words stand by number."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        words, ids, codes, size = _Numbers(), [], [], 0
+
+        def rows() -> Iterator[pd.DataFrame]:
+            order = np.argsort(-np.bincount(np.concatenate(codes), minlength=len(words)), kind="stable") if words else np.empty(0, np.int64)
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            ends = np.cumsum([len(c) for c in codes]) // _ROW_CODES  # documents of a row
+            for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ends)) + 1):
+                row = packed(number[np.concatenate([codes[i] for i in at])])
+                yield pd.DataFrame({"block": block, "doc_ids": [[ids[i] for i in at]], "codes": [row], "bucket": None, "lengths": [packed(np.array([len(codes[i]) for i in at], np.uint32))], "contents": None})
+            seen = [w.encode("utf-8", "surrogatepass") for w in words]
+            of_bucket, every = [[] for _ in range(buckets)], np.empty(len(seen), np.uint32)
+            for n, i in enumerate(order.tolist()):
+                every[n] = at = xxhash.xxh32_intdigest(seen[i]) % buckets
+                of_bucket[at].append(seen[i])
+            lists = [(i, *_joined(of)) for i, of in enumerate(of_bucket) if of] + [(None, packed(every), None)]
+            for i in range(0, len(lists), _BATCH):
+                bucket, lengths, contents = zip(*lists[i : i + _BATCH])
+                yield pd.DataFrame({"block": block, "doc_ids": None, "codes": None, "bucket": pd.array(bucket, "Int32"), "lengths": lengths, "contents": contents})
 
         for pdf in batches:
-            ids, codes = [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text in zip(pdf["doc_id"].tolist() if pdf["doc_id"].notna().all() else [None if pd.isna(d) else int(d) for d in pdf["doc_id"]], pdf["text"]):
                 found = find(text)
-                codes.append(zlib.compress(np.fromiter(map(words.__getitem__, found), np.int32, len(found)).tobytes(), 1))
-                ids.append(doc)
+                codes.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                ids.append(None if doc is None else str(doc))
                 size += len(text)
                 if size >= block_bytes:
-                    yield pd.DataFrame({"block": block, "doc_id": ids, "codes": codes, "first": None, "words": None})
-                    yield from lists()
-                    words, block, size, ids, codes = _Numbers(), block + 1, 0, [], []
-            if ids:
-                yield pd.DataFrame({"block": block, "doc_id": ids, "codes": codes, "first": None, "words": None})
-        yield from lists()
+                    yield from rows()
+                    words, ids, codes, size, block = _Numbers(), [], [], 0, block + 1
+        if ids:
+            yield from rows()
 
-    return docs.mapInPandas(split, "block long, doc_id long, codes binary, first int, words array<binary>")
+    return docs.mapInPandas(split, _BLOCK)
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -103,41 +142,62 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     Each match of the pattern is encoded separately, without special tokens.  A null or empty text
     has no ids.  Repeated rows and null ids are encoded like any other; other columns are ignored;
     an empty table gives no rows.  A text is held whole by its task, whatever its length."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))  # rows of ids are wide
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = stored(_blocks(texts, pattern, block_bytes), "bpe-blocks")
-    words = parts.where("words is not null").select("block", "first", F.posexplode("words").alias("at", "word")).select("block", (F.col("first") + F.col("at")).alias("code"), "word")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(_blocks(texts, pattern, block_bytes, buckets), "bpe-blocks")
 
     def ids_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, last, held = read_ranks(ranks), None, b""
+        table, last, known = read_ranks(ranks), None, {}
         for pdf in batches:
             out = []
-            for word in pdf["word"]:
-                if word != last:
-                    last, held = word, np.array(merge(word, table), "<u4").tobytes()
-                out.append(held)
-            yield pd.DataFrame({"block": pdf["block"], "code": pdf["code"], "ids": out})
-
-    spark = docs.sparkSession
-    together = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
-    encoded = together.mapInPandas(ids_of_words, "block long, code int, ids binary")
+            for bucket, lengths, contents in zip(pdf["bucket"], pdf["lengths"], pdf["contents"]):
+                if bucket != last:
+                    last, known = bucket, {}
+                words = _parted(lengths, contents)
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(merge(word, table), "<u4").tobytes()
+                found = list(map(known.__getitem__, words))
+                out.append((packed(np.fromiter(map(len, found), np.uint32, len(found)) // 4), packed(np.frombuffer(b"".join(found), "<u4"))))
+            sizes, ids = zip(*out) if out else ((), ())
+            yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "sizes": sizes, "ids": ids})
+
+    lists = parts.where("bucket is not null").select("block", "bucket", "lengths", "contents")
+    together = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    encoded = together.mapInPandas(ids_of_words, "block long, bucket int, sizes binary, ids binary")
 
     def assemble(of_docs: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
-        ids = [b""] * len(of_words)
-        for code, held in zip(of_words["code"].tolist(), of_words["ids"]):
-            ids[code] = held
-        joined = [b"".join(map(ids.__getitem__, np.frombuffer(zlib.decompress(c), np.int32).tolist())) for c in of_docs["codes"]]
-        return pd.DataFrame({"doc_id": of_docs["doc_id"], "ids": joined})
-
-    of_docs = parts.where("codes is not null").select("block", "doc_id", "codes")
+        head = of_docs["codes"].isna()
+        order = np.argsort(unpacked(of_docs["lengths"][head].iloc[0]), kind="stable")  # numbers by bucket
+        of_words = of_words.sort_values("bucket")
+        sizes = np.concatenate([*map(unpacked, of_words["sizes"]), np.empty(0, np.uint32)]).astype(np.int64)
+        ids, starts = np.concatenate([*map(unpacked, of_words["ids"]), np.empty(0, np.uint32)]), np.zeros(len(order), np.int64)
+        size = np.zeros(len(order), np.int64)
+        starts[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        of_docs, docs, out = of_docs[~head], [], []
+        for doc_ids, codes, lengths in zip(of_docs["doc_ids"], map(unpacked, of_docs["codes"]), map(unpacked, of_docs["lengths"])):
+            docs += [None if d is None else int(d) for d in doc_ids]
+            for of in np.split(codes, np.cumsum(lengths)[:-1]):
+                n = size[of]
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] - ends + n, n)
+                out.append(ids[at].astype("<u4").tobytes())
+        return pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": out})
+
+    of_docs = parts.where("bucket is null").select("block", "doc_ids", "codes", "lengths")
     return of_docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids' tokens.  Null ids give no bytes."""
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {rank: token for token, rank in read_ranks(ranks).items()}
-        for pdf in batches:
-            yield pdf.assign(bytes=[b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in pdf["ids"]])
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE_ROWS):  # so that few texts are held at once
+                part = batch.slice(at, _SLICE_ROWS)
+                found = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(found, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(look_up, "doc_id long, ids binary, bytes binary")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(look_up, "doc_id long, ids binary, bytes binary")
