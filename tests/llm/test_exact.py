@@ -124,6 +124,19 @@ def test_line_dedup(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(every) if i not in out)
 
 
+def test_repeated_rows_keep_their_first_lines(spark):
+    """Rows that repeat id and text have one decision: that of the texts without the repeats."""
+    pool = varied(12, 60, WORDS, 5, 14)
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5))) for _ in range(20)]
+    gone = plain_lines(enumerate(texts))
+    again = [(i, t) for i, t in enumerate(texts) for _ in range(1 + i % 3)]
+    got = lines.dedup_lines(spark.createDataFrame(again, "doc_id long, text string"), counters=1 << 8).collect()
+    assert len(got) == len(again)
+    for r in got:
+        assert r["text"] == "\n".join(x for i, x in enumerate(texts[r["doc_id"]].split("\n")) if i not in gone.get(r["doc_id"], []))
+
+
 def test_line_rarity_orders_words(spark):
     texts = frame(spark, ["common words are common and common again", "common rareword"])
     sets = lines._rarities(texts.select(F.col("text").alias("line")), 1 << 12)

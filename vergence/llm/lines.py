@@ -107,9 +107,11 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
     narrow = lines.select("line_id", "class", place.alias("place"))
-    firsts = narrow.groupBy("class").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
-    equal = cut(narrow.join(firsts, "class").where("place <> first").select("line_id", "place.key", "place.at"))
-    distinct = lines.join(sized_broadcast(equal.select("line_id"), equal.count()), "line_id", "left_anti")
+    firsts = narrow.groupBy("class").agg(F.min(F.struct("place", "line_id")).alias("first"), F.count("*").alias("lines")).where("lines > 1")
+    # one line stands for its class; rows that repeat share its place, and their lines are no later ones
+    same = cut(narrow.join(firsts, "class").where("line_id <> first.line_id").select("line_id", "place.key", "place.at", (F.col("place") != F.col("first.place")).alias("later")))
+    equal = same.where("later").select("key", "at")
+    distinct = lines.join(sized_broadcast(same.select("line_id"), same.count()), "line_id", "left_anti")
     pairs = cut(_pairs(distinct, percent))
 
     ids = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct()
@@ -124,7 +126,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = _similar(directed.groupBy("later").agg(F.min("earlier")["id"].alias("earlier")), full, percent)
     rest = directed.select("later", F.col("earlier.id").alias("earlier")).join(first.select("later"), "later", "left_anti")
     later = first.unionByName(_similar(_by_heads(rest, named, percent), full, percent)).select(F.col("later").alias("line_id")).distinct()
-    return equal.select("key", "at").unionByName(named.join(later, "line_id", "left_semi").select("key", "at"))
+    return equal.unionByName(named.join(later, "line_id", "left_semi").select("key", "at"))
 
 
 def _by_heads(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
