@@ -137,6 +137,25 @@ def test_repeated_rows_keep_their_first_lines(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(texts[r["doc_id"]].split("\n")) if i not in gone.get(r["doc_id"], []))
 
 
+def test_short_lines_are_compared(spark, tmp_path):
+    """The query compares every line with a word: short ones, and lines without spaces."""
+    rng = random.Random(8)
+    pool = [*varied(13, 40, WORDS, 1, 6), "menu", "目录", "日本語の行", "a b c", "a b c d", "x", " ", "\t", ""]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    before, want = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for line in t.split("\n"):
+            w = set(line.lower().replace("\t", " ").split())
+            if not w or not any(100 * len(w & b) >= 75 * len(w | b) for b in before):
+                kept.append(line)
+            before += [w] if w else []
+        want[i] = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    got = registry.op4_line_dedup(spark, str(tmp_path))
+    assert {r["doc_id"]: r["text_sha256"] for r in got.collect()} == want
+
+
 def test_line_rarity_orders_words(spark):
     texts = frame(spark, ["common words are common and common again", "common rareword"])
     sets = lines._rarities(texts.select(F.col("text").alias("line")), 1 << 12)

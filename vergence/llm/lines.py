@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from vergence.llm.common import NEAR_PERCENT, cut, sized_broadcast, stored
 
-#: Words of the shortest line that is compared.
-LEAST_WORDS = 5
+#: Words of the shortest line that is compared if nothing else is asked for, and where every line with a word is.
+LEAST_WORDS, EVERY_LINE = 5, 1
 #: Counters that the words' hashes share, a power of two, and how finely their logarithms are told apart.
 COUNTERS, STEPS = 1 << 18, 3
 #: The part of a set, its rarest words, by which further pairs are compared before their whole sets are.
@@ -30,14 +30,14 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(doc_id, key, at, line) of the lines that may be long enough, in lower case with spaces alone between words."""
     odd = F.lit(False)
     for blank in _BLANKS:
         odd = odd | F.contains(text_col, F.lit(blank))
     even = F.lower(F.when(odd, F.translate(text_col, _BLANKS, " " * len(_BLANKS))).otherwise(F.col(text_col)))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("key"), F.posexplode(F.split(even, "\n")).alias("at", "line"))
-    return rows.where(F.length("line") >= 2 * LEAST_WORDS - 1)
+    return rows.where(F.length("line") >= 2 * least_words - 1)
 
 
 def _counter(h: Column, counters: int) -> Column:
@@ -95,13 +95,13 @@ def _pairs(lines: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
 
 
-def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS) -> DataFrame:
+def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, at): the lines, by the row's key and the line's place from 0, that are similar to an earlier line.
 
     Lines are ordered by doc_id (null last), then by the row's key, then by place."""
-    texts = _lines(docs, id_col, text_col)
+    texts = _lines(docs, id_col, text_col, least_words)
     rarities = _rarities(texts, counters)
-    sets = texts.select("doc_id", "key", "at", line_set(F.col("line"), rarities).alias("members")).where(F.size("members") >= LEAST_WORDS)
+    sets = texts.select("doc_id", "key", "at", line_set(F.col("line"), rarities).alias("members")).where(F.size("members") >= least_words)
     prefix = F.slice("members", F.lit(1), prefix_size(F.size("members"), percent))
     lines = stored(sets.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "key", "at", F.xxhash64("members").alias("class"), F.size("members").alias("n"), _half_map(F.col("members"), 0).alias("low"), _half_map(F.col("members"), 1).alias("high"), prefix.alias("prefix")), "lines")
 
@@ -146,16 +146,16 @@ def _similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(of_a, "earlier").join(of_b, "later").where(similar).select("earlier", "later"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = NEAR_PERCENT, counters: int = COUNTERS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The columns of docs, the text without its later lines, and line_count and removed_lines after them.
 
-    A line of at least five distinct words goes if an earlier one of the corpus has a Jaccard
-    similarity of `percent` or more, whether that one is kept or not; shorter lines stay.  Words
-    are split at white space and compared in lower case.  A null text stays null, with no lines;
+    A line of at least `least_words` distinct words (1 for all lines but blank ones) goes if an
+    earlier one of them has a Jaccard similarity of `percent` or more, whether that one is kept or
+    not; other lines stay.  Words are split at white space and compared in lower case.  A null text stays null, with no lines;
     a text whose lines all go becomes empty.  Rows that repeat both id and text share one
     decision.  A null id comes last in the order.  Columns of docs with the added names are
     replaced.  An empty table gives no rows."""
-    removed = later_lines(docs, id_col, text_col, percent, counters).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gone"))  # as many as a text has lines
+    removed = later_lines(docs, id_col, text_col, percent, counters, least_words).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gone"))  # as many as a text has lines
     removed = cut(removed)
     own = docs.drop("line_count", "removed_lines").withColumn("_row_key", _row_key(id_col, text_col))
     met = own.join(sized_broadcast(removed.withColumnRenamed("key", "_row_key"), removed.count(), 200_000), "_row_key", "left").drop("_row_key")

@@ -48,7 +48,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "line_count", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return lines.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), least_words=lines.EVERY_LINE).select("doc_id", "line_count", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
