@@ -256,6 +256,37 @@ def test_languages_held_out(spark):
     assert [(r["lang_pred"] in ("xx", "yy"), r["rejected"]) for r in odd] == [(True, True), (False, True), (False, True), (True, False)]
 
 
+def test_few_grams_drop_no_language(spark):
+    """A language of few rows stays beside a large one, and a bound on n-grams leaves the lower orders as they are."""
+    rng = random.Random(3)
+    vocab = {"xx": (["kalo", "timi", "ruve", "sopa", "lenu"], 300), "yy": (["straz", "grund", "pflok", "kirsch", "wampt"], 6)}
+    rows_ = [(lang, " ".join(rng.choice(words) for _ in range(12))) for lang, (words, n) in vocab.items() for _ in range(n)]
+    d = spark.createDataFrame(rows_, "lang string, text string")
+    whole, small = langid.fit(d, d), langid.fit(d, d, most_grams=8 * 60)
+    assert small.languages == whole.languages == ["xx", "yy"]
+    for i in range(2):
+        for size in range(3):
+            assert [np.array_equal(a, b) for a, b in zip(small.grams[i][size], whole.grams[i][size])] == [True, True]
+        assert 0 < len(small.grams[i][3][0]) <= len(whole.grams[i][3][0])
+    assert sum(len(g[3][0]) for g in small.grams) <= 60 < sum(len(g[3][0]) for g in whole.grams)
+    got = langid.identify(d.withColumnRenamed("lang", "own"), small)
+    assert got.where("lang_pred <> own or rejected").count() == 0
+
+
+def test_pruned_contexts_sum_to_one(spark):
+    rng = random.Random(4)
+    counts = langid.gram_counts(spark.createDataFrame([("xx", "".join(rng.choice("aaabbc ") for _ in range(400)))], "lang string, text string"), 3)
+    _, two, three = langid.kneser_ney(counts, 3, {"xx": 4})
+    assert counts.where("n < 4").count() > 0 and three.count() == counts.where("n >= 4").count()
+    below = {r["gram"]: r["p"] for r in two.collect()}
+    contexts = {}
+    for r in three.collect():
+        contexts.setdefault(r["context"], (r["weight"], []))[1].append((r["gram"], r["p"]))
+    for context, (weight, grams) in contexts.items():  # what the order below has is the weight's
+        own = sum(p - weight * below[g[1:]] for g, p in grams)
+        assert own + weight == pytest.approx(1, abs=1e-6), context
+
+
 def test_kneser_ney_sums_to_one(spark):
     rows_ = spark.createDataFrame([("xx", "abracadabra abra cadabra")], "lang string, text string")
     for size, table in enumerate(langid.kneser_ney(langid.gram_counts(rows_, 3), 3), 1):

@@ -26,7 +26,8 @@ from vergence.llm.common import cut, sized_broadcast
 ORDER = 4
 #: Characters of labelled text for each language that the models, and their calibration, are taken from.
 TRAIN_CHARS, CALIBRATION_CHARS = 30_000_000, 4_000_000
-#: Most n-grams of all models together; beyond it the rarest of the highest order go.
+#: What bounds the n-grams of the highest order: all languages together keep 1 / (2 * order) of it, in even shares, and
+#: beyond its share a language's rarest go.  Lower orders are whole; only the sample bounds them.
 MOST_GRAMS = 3_000_000
 #: A text is rejected if its entropy is this many bits, and so many standard errors, above its language's mean.
 REJECT_BITS, REJECT_ERRORS = 1.5, 8.0
@@ -187,9 +188,12 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     return rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int) -> list[DataFrame]:
+def kneser_ney(counts: DataFrame, order: int, least: dict[str, int] | None = None) -> list[DataFrame]:
     """For each size from 1 to order, (lang, gram, context, p, weight) of the n-grams by interpolation
-    with the next lower size; the lower sizes count the characters before an n-gram."""
+    with the next lower size; the lower sizes count the characters before an n-gram.
+
+    Of the highest size only n-grams with their language's `least` count stay.  They go after
+    everything is counted, and what they had is their context's weight of the next lower size."""
     tables, at = {order: counts}, counts
     for size in range(order - 1, 0, -1):
         at = at.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
@@ -202,6 +206,11 @@ def kneser_ney(counts: DataFrame, order: int) -> list[DataFrame]:
         context = W.partitionBy("lang", "context")
         table = table.withColumn("context", F.substring("gram", 1, size - 1)).select("*", F.sum("n").over(context).alias("total"), F.count("*").over(context).alias("kinds"))
         table = table.join(discounts, "lang").withColumn("weight", F.col("d") * F.col("kinds") / F.col("total"))
+        if size == order and least and max(least.values()) > 1:
+            bounds = counts.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
+            table = table.join(F.broadcast(bounds), "lang").withColumn("stays", F.col("n") >= F.col("least"))  # a row a language
+            own = F.sum(F.when(F.col("stays"), F.col("n") - F.col("d")).otherwise(0.0)).over(context)
+            table = table.withColumn("weight", 1 - own / F.col("total")).where("stays")
         if lower is None:
             table = table.withColumn("below", F.lit(_NEVER))
         else:
@@ -214,7 +223,7 @@ def kneser_ney(counts: DataFrame, order: int) -> list[DataFrame]:
 
 
 def _arrays(table: DataFrame, key: str, value: str, languages: list[str], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One language's arrays after the other; the table has MOST_GRAMS rows at most."""
+    """One language's arrays after the other; the sample bounds the table's rows."""
     pdf = table.select("lang", F.col(key).alias("key"), F.log2(value).alias("value")).toArrow().to_pandas()
     out = []
     for lang in languages:
@@ -225,23 +234,32 @@ def _arrays(table: DataFrame, key: str, value: str, languages: list[str], size:
     return out
 
 
-def _least_count(counts: DataFrame, most: int) -> int:
-    """The least count at which no more than `most` n-grams remain."""
-    kept, least = 0, 1
-    for n, rows in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        kept += rows
-        if kept > most:
-            return n + 1
-        least = n
-    return least
+def _least_counts(counts: DataFrame, most: int) -> dict[str, int]:
+    """For each language the least count of the n-grams that stay, `most` of all of them.
+
+    Languages share evenly, and what one with few n-grams leaves goes to the others."""
+    bins: dict[str, list[tuple[int, int]]] = {}
+    for lang, n, rows in counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).count().orderBy("lang", F.desc("n")).collect():
+        bins.setdefault(lang, []).append((n, rows))
+    out, left = {}, most
+    by_size = sorted(bins, key=lambda lang: (sum(rows for _, rows in bins[lang]), lang))
+    for i, lang in enumerate(by_size):
+        kept, share, out[lang] = 0, left // (len(by_size) - i), bins[lang][0][0] + 1
+        for n, rows in bins[lang]:
+            if kept + rows > share:
+                break
+            kept, out[lang] = kept + rows, n
+        else:
+            out[lang] = 1
+        left -= kept
+    return out
 
 
 def fit(train: DataFrame, calibration: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, train_chars: int = TRAIN_CHARS, calibration_chars: int = CALIBRATION_CHARS, most_grams: int = MOST_GRAMS) -> Models:
     """Models of all languages that label a text with a letter; rows without language or text are passed over."""
     labelled = lambda rows: rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     counts = cut(gram_counts(bounded_sample(labelled(train), "lang", "text", train_chars), order))
-    counts = counts.where(F.col("n") >= _least_count(counts, most_grams // (2 * order)))
-    tables = kneser_ney(counts, order)
+    tables = kneser_ney(counts, order, _least_counts(counts, most_grams // (2 * order)))
     languages = sorted(r[0] for r in tables[0].select("lang").distinct().collect())
     of_grams = [_arrays(t, "gram", "p", languages, size) for size, t in enumerate(tables, 1)]
     of_contexts = [_arrays(t.select("lang", "context", "weight").distinct(), "context", "weight", languages, size) for size, t in enumerate(tables[1:], 1)]
@@ -288,7 +306,7 @@ def _entropies(models: Models):
 def _shared(models: Models):
     from pyspark.sql import SparkSession
 
-    return SparkSession.active().sparkContext.broadcast(models)  # bounded by MOST_GRAMS
+    return SparkSession.active().sparkContext.broadcast(models)  # bounded by MOST_GRAMS and the sample
 
 
 def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
