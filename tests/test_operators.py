@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vergence.operators import audit, evaluation, limits, retrieval, sessions, stats
+from vergence.plans import registry
 
 
 def test_limiter(spark):
@@ -74,3 +75,11 @@ def test_search_all_words_in_any_field(spark):
     rows = spark.createDataFrame([(1, "Red Ring", "shop"), (2, "red", None), (3, None, None)], "i int, a string, b string")
     assert [r["i"] for r in audit.search(rows, " red SHOP ", ["a", "b"]).collect()] == [1]
     assert audit.search(rows, "", ["a"]).count() == 3
+
+
+def test_training_pairs_of_a_long_conversation(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"w{t}") for c, n in ((1, 2_600), (2, 4), (3, 3)) for t in range(1, n + 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["asset_id"]: (r["n"], r["chars"]) for r in registry.training_pairs(spark, str(tmp_path)).collect()}
+    chars = lambda n: sum(len(f"w{t}") for t in range(1, n + 1))
+    assert got == {1: (1_300, chars(2_600)), 2: (2, chars(4)), 3: (1, chars(2))}

@@ -45,6 +45,12 @@ def recent_turns(messages: DataFrame, turns: int = MEMORY_TURNS) -> DataFrame:
     return newest.select("session_id", F.row_number().over(W.partitionBy("session_id").orderBy("id")).alias("nth"), "question_id", F.col("id").alias("answer_id"))
 
 
+def answered_pairs(messages: DataFrame) -> DataFrame:
+    """(session_id, q, a): every agent message right after a customer message, with that message."""
+    rows = messages.select("session_id", "role", F.col("content").alias("a"), F.lag("role").over(in_order()).alias("before"), F.lag("content").over(in_order()).alias("q"))
+    return rows.where("role = 'agent' and before = 'customer'").select("session_id", "q", "a")
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     """(session_id, n_messages, transcript): one line for each message, in order; as long as its session."""
     line = F.concat(F.when(F.col("role") == "customer", "顾客：").otherwise("客服："), F.coalesce("content", F.lit("")))

@@ -273,11 +273,8 @@ def event_id_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Answered questions as samples, masked."""
-    asked = views.messages(spark, d)
-    turns = sessions.recent_turns(asked, 1_000)
-    text_of = asked.select("id", "content")
-    pairs = turns.join(text_of.select(F.col("id").alias("question_id"), F.col("content").alias("q")), "question_id").join(text_of.select(F.col("id").alias("answer_id"), F.col("content").alias("a")), "answer_id")
-    samples = governance.training_samples(pairs.select(F.col("session_id").alias("asset_id"), F.array(F.struct("q", "a")).alias("qa_pairs"), "answer_id").select("asset_id", "qa_pairs"))
+    pairs = sessions.answered_pairs(views.messages(spark, d))
+    samples = governance.training_samples(pairs.select(F.col("session_id").alias("asset_id"), F.array(F.struct("q", "a")).alias("qa_pairs")))
     return samples.groupBy("asset_id").agg(F.count("*").alias("n"), F.sum(F.length("instruction") + F.length("output")).alias("chars"))
 
 
