@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergence.llm import decontam, langid, lines, minhash
-from vergence.llm.common import shared_dir, sized_broadcast
+from vergence.llm.common import cut, shared_dir, sized_broadcast
 from vergence.llm.registry import bpe_round_trip, language_models
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the least id stays."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(sized_broadcast(gone, docs.count()), "doc_id", "left_anti").select(*docs.columns)
+    gone = cut(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(sized_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

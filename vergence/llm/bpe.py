@@ -1,10 +1,12 @@
 """Byte-level BPE by a shuffle of distinct words.
 
-A pass over the texts splits them into pre-tokens and writes, for each block of documents, the
-block's distinct words once, in lists by a hash of the word, and each document as numbers of words.
-The lists of all blocks meet by hash, each distinct word is encoded once, the ids go back to the
-blocks that have it, and every document is put together again by its numbers.  Decoding looks each id up in the table of
-token bytes, whose size the vocabulary bounds.
+A pass over the texts splits them into pre-tokens and gives, for each block of documents, the
+block's distinct words once, in lists by a hash of the word, and each document as the numbers of
+its words by position.  The lists of all blocks meet by hash, each distinct word is encoded once,
+the ids are joined back to the blocks that have it, and every document is put together again by
+position.  What the pass gives is shuffled once, by block, and read from there both for the words
+and for the documents.  Decoding joins the ids with the table of token bytes, which every task
+holds and whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -23,12 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vergence.llm.common import stored
-
-#: Bytes of text after which a block of documents ends.
-BLOCK_BYTES = 10 << 20
-#: Rows that go to a Python worker at once.
-ROWS_AT_ONCE = 1000
+#: Characters of text after which a block of documents ends, bytes of text for each bucket of words, and the most buckets.
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 256 << 20, 4096
+#: Distinct words that a worker keeps encoded at once; beyond it starts anew.
+_KEPT_WORDS = 1_000_000
 _BATCH, _ROW_CODES, _SLICE_ROWS = 512, 1 << 17, 256
 
 
@@ -124,7 +124,7 @@ def _blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> Da
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].tolist() if pdf["doc_id"].notna().all() else [None if pd.isna(d) else int(d) for d in pdf["doc_id"]], pdf["text"]):
                 found = find(text)
-                codes.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 ids.append(None if doc is None else str(doc))
                 size += len(text)
                 if size >= block_bytes:
@@ -142,19 +142,24 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     Each match of the pattern is encoded separately, without special tokens.  A null or empty text
     has no ids.  Repeated rows and null ids are encoded like any other; other columns are ignored;
     an empty table gives no rows.  A text is held whole by its task, whatever its length."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))  # rows of ids are wide
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = stored(_blocks(texts, pattern, block_bytes, buckets), "bpe-blocks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(parts, -(-total // BUCKET_BYTES)))
+    blocks = _blocks(texts, pattern, block_bytes, buckets).repartition(max(parts, -(-total // BUCKET_BYTES)), "block")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(batch.column("bucket").is_valid()).select(["block", "bucket", "lengths", "contents"])
 
     def ids_of_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, last, known = read_ranks(ranks), None, {}
         for pdf in batches:
             out = []
             for bucket, lengths, contents in zip(pdf["bucket"], pdf["lengths"], pdf["contents"]):
-                if bucket != last:
-                    last, known = bucket, {}
                 words = _parted(lengths, contents)
+                if bucket != last or len(known) + len(words) > _KEPT_WORDS:
+                    last, known = bucket, {}
                 for word in words:
                     if word not in known:
                         known[word] = np.array(merge(word, table), "<u4").tobytes()
@@ -163,11 +168,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             sizes, ids = zip(*out) if out else ((), ())
             yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "sizes": sizes, "ids": ids})
 
-    lists = parts.where("bucket is not null").select("block", "bucket", "lengths", "contents")
-    together = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # both sides read the same shuffle by block: all columns go to Python, so that neither side's plan prunes them below it
+    together = blocks.mapInArrow(lists, "block long, bucket int, lengths binary, contents binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     encoded = together.mapInPandas(ids_of_words, "block long, bucket int, sizes binary, ids binary")
 
     def assemble(of_docs: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
+        of_docs = of_docs[of_docs["bucket"].isna()]
         head = of_docs["codes"].isna()
         order = np.argsort(unpacked(of_docs["lengths"][head].iloc[0]), kind="stable")  # numbers by bucket
         of_words = of_words.sort_values("bucket")
@@ -185,19 +191,26 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 out.append(ids[at].astype("<u4").tobytes())
         return pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": out})
 
-    of_docs = parts.where("bucket is null").select("block", "doc_ids", "codes", "lengths")
-    return of_docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, ids binary")
+    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids' tokens.  Null ids give no bytes."""
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in read_ranks(ranks).items()}
+        table = read_ranks(ranks)
+        tokens = [b""] * (max(table.values(), default=-1) + 1)
+        for token, rank in table.items():
+            tokens[rank] = token
+        tokens = pa.array(tokens, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):  # so that few texts are held at once
                 part = batch.slice(at, _SLICE_ROWS)
-                found = [b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(found, pa.binary())], ["doc_id", "ids", "bytes"])
+                ids = [x or b"" for x in part.column("ids").to_pylist()]
+                of_tokens = tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+                ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
+                starts = np.frombuffer(of_tokens.buffers()[1], np.int32)[of_tokens.offset :][ends].astype(np.int32) if len(of_tokens) else np.zeros(len(ends), np.int32)
+                found = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts.tobytes()), of_tokens.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), found], ["doc_id", "ids", "bytes"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(look_up, "doc_id long, ids binary, bytes binary")

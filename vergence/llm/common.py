@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -15,26 +14,68 @@ NEAR_PERCENT = 75
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set only where the session names none."""
+    """The folder that the driver and all executors share; set only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
-    if held is None:  # a local session, such as a test's
-        held = tempfile.mkdtemp(prefix="vergence-")
-        spark.sparkContext.setCheckpointDir(held)
+    if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vergence-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in reliable storage; Spark drops the files once nothing refers to them."""
+    """Ends the lineage of a small result in reliable storage.
+
+    Spark drops the files with the last reference where spark.cleaner.referenceTracking.cleanCheckpoints
+    is on; what is large goes to a Scratch, which drops its tables itself."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder that end the lineage, in a folder for each run of an operator.
+
+    drop() deletes tables whose readers are done.  Of a run that ends well only last() is left: the
+    table that the returned frame, which is lazy, still reads.  All go when the session's JVM ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.made = spark, f"{shared_dir(spark)}/vergence-{uuid.uuid4().hex}", 0
+        self._path(self.top).getFileSystem(self._conf()).deleteOnExit(self._path(self.top))
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.top}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes the files of tables, whose readers must have ended."""
+        for df in frames:
+            for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                path = self._path(name)
+                path.getFileSystem(self._conf()).delete(path, True)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """The table of df; all others of this run are deleted, so nothing else may read them any more."""
+        before, path = self.made, self._path(self.top)
+        out = self.table(df)
+        for i in range(1, before + 1):
+            path.getFileSystem(self._conf()).delete(self._path(f"{self.top}/{i}"), True)
+        return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as a Parquet table for what is large; its files stay in the shared folder."""
+    """As cut(), but as a Parquet table, for what is large and read more than once."""
     path = f"{shared_dir(df.sparkSession)}/vergence-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,7 +84,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def sized_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Hints a broadcast if the counted rows (narrow ones) are few enough; else the join shuffles."""
     return F.broadcast(df) if rows <= most else df
-
-
-def salted_parts(rows: int, each: int) -> int:
-    return max(1, math.ceil(rows / each))

@@ -33,7 +33,8 @@ MOST_GRAMS = 3_000_000
 REJECT_BITS, REJECT_ERRORS = 1.5, 8.0
 UNKNOWN = "und"
 _TEMPERATURES = [2.0**i for i in range(-6, 7)]
-_PIECE, _KEPT = 1 << 20, 1 << 20
+#: Characters that are scored, and counted, at once, and windows whose bits a worker keeps, newer ones in a small table of their own.
+_PIECE, _COUNTED, _KEPT, _NEWER = 1 << 17, 1 << 19, 1 << 18, 1 << 15
 _NEVER = 1e-7  # probability of a character that a language has never had
 _FACTOR, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -65,7 +66,7 @@ def hashes(windows: np.ndarray) -> np.ndarray:
     return h * _LAST
 
 
-def _windows(texts: Iterable[str | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _windows(texts: Iterable[str | None], order: int, piece: int = _PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Some places of the texts at a time: the `order` characters up to each, and the text's number.  Spaces stand before a text."""
     codes, owners, size = [], [], 0
     pad = np.full(order - 1, 32, np.uint32)
@@ -76,12 +77,12 @@ def _windows(texts: Iterable[str | None], order: int) -> Iterator[tuple[np.ndarr
         return windows[owner >= 0], owner[owner >= 0]
 
     for number, text in enumerate(texts):
-        for at in range(0, len(text or ""), _PIECE):
-            x = folded(text[at : at + _PIECE])
+        for at in range(0, len(text or ""), piece):
+            x = folded(text[at : at + piece])
             codes += [np.r_[pad, folded(text[max(0, at - 64) : at])][1 - order :], x]
             owners += [np.full(order - 1, -1), np.full(len(x), number)]
             size += len(x)
-            if size >= _PIECE:
+            if size >= piece:
                 yield taken()
                 codes, owners, size = [], [], 0
     if size:
@@ -135,20 +136,31 @@ class Scorer:
     """Entropies of texts; the bits of windows met before are kept, within a bound."""
 
     def __init__(self, models: Models):
-        self.models, self.keys, self.values = models, np.empty(0, np.uint64), np.empty((0, len(models.languages)), np.float32)
+        self.models = models
+        self.old, self.new = self._table(), self._table()
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.empty(0, np.uint64), np.empty((0, len(self.models.languages)), np.float32)
+
+    @staticmethod
+    def _merged(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.r_[x[0], y[0]]
+        order = np.argsort(keys)
+        return keys[order], np.r_[x[1], y[1]][order]
 
     def _bits(self, keys: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-        out = np.empty((len(keys), len(self.models.languages)), np.float32)
-        out[known] = self.values[at[known]]
-        if not known.all():
-            out[~known] = fresh = self.models.bits(windows[~known])
-            if len(self.keys) > _KEPT:
-                self.keys, self.values = self.keys[:0], self.values[:0]
-            every = np.r_[self.keys, keys[~known]]
-            order = np.argsort(every)
-            self.keys, self.values = every[order], np.r_[self.values, fresh][order]
+        out, open_ = np.empty((len(keys), len(self.models.languages)), np.float32), np.ones(len(keys), bool)
+        for held, values in (self.old, self.new):
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                known = open_ & (held[at] == keys)
+                out[known] = values[at[known]]
+                open_ &= ~known
+        if open_.any():
+            out[open_] = fresh = self.models.bits(windows[open_])
+            self.new = self._merged(self.new, (keys[open_], fresh))
+            if len(self.new[0]) > _NEWER:
+                self.old, self.new = self._merged(self.old if len(self.old[0]) < _KEPT else self._table(), self.new), self._table()
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +191,7 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, of in pdf.groupby("lang"):
-                for windows, _ in _windows(of["text"], order):
+                for windows, _ in _windows(of["text"], order, _COUNTED):
                     numbers, first = _distinct(hashes(windows))
                     flat = windows[first].astype("<u4").tobytes().decode("utf-32-le")
                     grams = [flat[i : i + order] for i in range(0, len(flat), order)]
@@ -316,7 +328,8 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
     `und`, rejected, with score 0 and no entropy, if the text is null or has no letter or if there
     are no models.  The score is a probability.  rejected tells that the entropy is above what the
     language's own texts of that length have.  Whole texts are read, in pieces.  Columns of docs
-    with one of these names are replaced; repeated rows are rows like any other."""
+    with one of these names are replaced; repeated rows are rows like any other; an empty table
+    gives no rows."""
     names = ["lang_pred", "score", "entropy", "rejected"]
     docs = docs.drop(*names)
     if not models.languages:

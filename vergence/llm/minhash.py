@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vergence.llm.common import NEAR_PERCENT, SHINGLE_WORDS, cut
+from vergence.llm.common import NEAR_PERCENT, SHINGLE_WORDS, Scratch, cut, sized_broadcast
+from vergence.llm.components import extended
 from vergence.llm.nearlinks import similarity_components
 
 #: A pair at 75 % similarity shares no band of 28 in one case of two thousand, one at 80 % in one of 70,000.
@@ -75,21 +76,21 @@ def band_keys(signature: np.ndarray, bands: int, values: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, values: int = BAND_VALUES) -> DataFrame:
-    """(doc_id, n, class_a, class_b, keys): set size, two hashes of the whole set, band keys."""
+def sketches(docs: DataFrame, bands: int = BANDS, values: int = BAND_VALUES) -> DataFrame:
+    """(doc_id, of_text, n, class_a, class_b, keys) of documents (doc_id, of_text, text): set size, two hashes of the whole set, band keys."""
     count = -(-bands * values // 2)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in pdf["text"]:
                 m = shingle_set(text, words)
                 keys = band_keys(min_max_signature(m, count), bands, values) if len(m) else np.empty(0, np.int64)
-                rows.append((doc, len(m), xxhash.xxh64_intdigest(m.tobytes(), 1) - (1 << 63), xxhash.xxh64_intdigest(m.tobytes(), 2) - (1 << 63), keys))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "class_a", "class_b", "keys"])
+                rows.append((len(m), xxhash.xxh64_intdigest(m.tobytes(), 1) - (1 << 63), xxhash.xxh64_intdigest(m.tobytes(), 2) - (1 << 63), keys))
+            yield pdf[["doc_id", "of_text"]].join(pd.DataFrame(rows, columns=["n", "class_a", "class_b", "keys"], index=pdf.index))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(sketch, "doc_id long, n int, class_a long, class_b long, keys array<long>")
+    return docs.mapInPandas(sketch, "doc_id long, of_text long, n int, class_a long, class_b long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -108,16 +109,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sets with one band key in common are candidates; links are confirmed on the full sets.  Equal
     sets are one class from the start, and only its least id goes on.  A null or wordless text has
-    an empty set and links with nothing.  Rows that repeat an id share its component, and the
-    first of them decides its set (they are taken to be equal).  A null id stands alone with a
-    null component and is kept.  Other columns are ignored; an empty table gives no rows."""
-    marks = cut(sketches(docs, id_col, text_col, bands, values))
+    an empty set and links with nothing.  Rows that repeat an id are one document: each has its
+    own text's n_shingles, all share the component that their texts lead to, and all are kept if
+    that is the id's own.  A null id stands alone with a null component and is kept.  A very long
+    text's set is held by one task.  Other columns are ignored; an empty table gives no rows."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("of_text"), F.col(text_col).alias("text"))
+    marks = scratch.table(sketches(texts, bands, values))
     filled = marks.where("n > 0 and doc_id is not null")
-    classes = cut(filled.groupBy("class_a", "class_b", "n").agg(F.min("doc_id").alias("rep")))
-    reps = classes.select(F.col("rep").alias("doc_id"), "class_a", "class_b")
-    rows = filled.join(reps, ["doc_id", "class_a", "class_b"], "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = similarity_components(rows, lambda ids: shingle_sets(texts.join(ids, "id", "left_semi")).dropDuplicates(["id"]), percent)
-    of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class_a", "class_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    classes = filled.groupBy("class_a", "class_b", "n").agg(F.min("doc_id").alias("rep"), F.min_by("of_text", "doc_id").alias("of_rep"))
+    classes = scratch.table(classes.withColumn("id", F.monotonically_increasing_id()))
+    reps = classes.select("id", F.col("rep").alias("doc_id"), F.col("of_rep").alias("of_text"), "class_a", "class_b")
+    rows = filled.join(reps, ["doc_id", "of_text", "class_a", "class_b"]).select(F.explode("keys").alias("key"), "id", "n")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = cut(classes.join(ids, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), F.col("of_rep").alias("of_text")))
+        asked = sized_broadcast(asked, asked.count())  # texts don't move for up to a million sets
+        return shingle_sets(texts.join(asked, ["doc_id", "of_text"]).select("id", "text")).dropDuplicates(["id"])
+
+    found = similarity_components(rows, sets_of, percent)
+    # the texts of a repeated id belong together
+    own = filled.select("doc_id", "class_a", "class_b", "n").distinct()
+    repeated = own.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    of_id = own.join(repeated, "doc_id").join(classes.select("class_a", "class_b", "n", "id"), ["class_a", "class_b", "n"]).select("doc_id", "id")
+    joined = cut(of_id.join(of_id.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b")))
+    if not joined.isEmpty():
+        found = extended(found, joined)
+    of_class = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = scratch.table(of_class.join(least, "component").select("class_a", "class_b", "n", "component_id"))
     out = marks.drop("keys").join(of_class, ["class_a", "class_b", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -16,13 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vergence.llm.common import NEAR_PERCENT, cut
+from vergence.llm.common import NEAR_PERCENT, cut, sized_broadcast
 from vergence.llm.components import connected_components, extended
 
 #: Members that an id is compared with in a round before the last one, and the most rounds.
 PROBES, ROUNDS = 4, 2
-#: Members of a group beyond which the last round works in blocks, and the sets of a block.
-LARGE, BLOCK = 64, 256
+#: Members of a group beyond which the last round works in blocks, and the values that a block's sets have together.
+LARGE, BLOCK_VALUES = 64, 1 << 18
 _SLICE = 8192
 
 
@@ -76,10 +76,15 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(outsiders: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): similar sets of an outsider and a member of the same arena, both given as (arena, id)."""
-    count = lambda rows, name: rows.groupBy("arena").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    blocks = count(outsiders, "of_o").join(count(members, "of_m"), "arena")
+def block_links(outsiders: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(a, b): similar sets of an outsider and a member of the same arena, both given as (arena, id, n).
+
+    Each block of outsiders meets each block of members; n, the size of the id's set, decides how
+    many blocks there are, and a hash of the id which one it is in.  A row of counts for each
+    arena is all that is joined by the arena."""
+    count = lambda rows, name: rows.groupBy("arena").agg(F.ceil(F.sum("n") / block_values).cast("int").alias(name))
+    blocks = cut(count(outsiders, "of_o").join(count(members, "of_m"), "arena"))
+    blocks = sized_broadcast(blocks, blocks.count())
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = outsiders.join(blocks, "arena").select("arena", "id", F.lit(True).alias("outside"), place("of_o").alias("i"), every("of_m").alias("j"))
@@ -126,9 +131,10 @@ def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFr
         if last:  # each pair of different components that an outsider is in
             arenas = apart.groupBy("main.component").agg(F.count_distinct("id").alias("n")).withColumnRenamed("component", "arena").where(F.col("n") > LARGE)
             arenas = cut(arenas)
-            large = apart.withColumn("arena", F.col("main.component")).join(arenas, "arena", "left_semi")
+            arenas = sized_broadcast(arenas, arenas.count())
+            large = apart.withColumn("arena", F.col("main.component")).join(arenas, "arena", "left_semi").select("arena", "id", "x.n", "component", "main")
             apart = apart.withColumn("arena", F.col("main.component")).join(arenas, "arena", "left_anti")
-            blocks = cut(block_links(large.where("component <> main.component").select("arena", "id").distinct(), large.select("arena", "id").distinct(), sets, percent))
+            blocks = cut(block_links(large.where("component <> main.component").select("arena", "id", "n").distinct(), large.select("arena", "id", "n").distinct(), sets, percent))
             others = apart.where("component <> main.component")
             whole = apart.select("key", F.col("x").alias("y"), F.col("component").alias("c_y"))
             near = others.select("key", "x", F.col("component").alias("c_x")).join(whole, "key").where("c_x <> c_y").where(fits(F.col("x"), F.col("y")))
