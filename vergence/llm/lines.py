@@ -21,13 +21,15 @@ from vergence.llm.common import NEAR_PERCENT, Scratch, sized_broadcast
 #: Words of the shortest line that is compared if nothing else is asked for, and where every line with a word is.
 LEAST_WORDS, EVERY_LINE = 5, 1
 #: Counters that the words' hashes share, a power of two, and how finely their logarithms are told apart.
-COUNTERS, STEPS = 1 << 18, 3
+COUNTERS, STEPS = 1 << 16, 3
 #: Pairs of neighbouring rare words by which a line meets the lines that it is held against first.
 PIVOT_KEYS = 3
 #: Lines that a line must be the earliest of before it is held against all that share a rare word with it.
 HEAD_MET = 8
 #: The part of a set, its rarest words, by which pairs are compared before their whole sets are.
 HEAD = 6
+#: Distinct words beyond which a line's bits are in four maps of 64 rather than in two.
+LONG_LINE = 128
 #: Most numbers that a broadcast table of removed lines has.
 BROADCAST_LINES = 2_000_000
 _HASH_BITS = 56
@@ -100,12 +102,12 @@ def _pivots(lines: DataFrame) -> DataFrame:
 
 
 def _prefix_rows(lines: DataFrame, *more: str) -> DataFrame:
-    """(word, line_id, low, high, held, *more): a row for each word of the prefixes; size, rest and openness travel in one number.
+    """(word, line_id, *_MAPS, held, *more): a row for each word of the prefixes; size, rest and openness travel in one number.
 
     The word is a hash of the word's number: a chance meeting only adds a pair to verify."""
-    words = lines.select("line_id", "n", "low", "high", "open", *more, F.posexplode("prefix").alias("at", "word"))
+    words = lines.select("line_id", "n", *_MAPS, "open", *more, F.posexplode("prefix").alias("at", "word"))
     held = F.shiftleft(F.col("n").cast("long"), _LEFT_BITS).bitwiseOR(2 * (F.col("n") - F.col("at")).cast("long")).bitwiseOR(F.col("open").cast("long"))
-    return words.select("word", "line_id", "low", "high", held.alias("held"), *more)
+    return words.select("word", "line_id", *_MAPS, held.alias("held"), *more)
 
 
 def _may_be_similar(percent: int) -> Column:
@@ -118,7 +120,9 @@ def _may_be_similar(percent: int) -> Column:
     left = lambda side: F.shiftrightunsigned(F.col(f"{side}.held").bitwiseAND(F.lit((1 << _LEFT_BITS) - 1)), 1)
     sizes = 100 * F.least(n("x"), n("y")) >= percent * F.greatest(n("x"), n("y"))
     places = (100 + percent) * F.least(left("x"), left("y")) >= percent * (n("x") + n("y"))
-    apart = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("low", "high"))
+    both = lambda side, c: F.col(f"{side}.{c}").bitwiseOR(F.col(f"{side}.{c}_2"))
+    apart = sum(F.bit_count(both("x", c).bitwiseXOR(both("y", c))) for c in ("low", "high"))
+    apart = F.when((n("x") > LONG_LINE) & (n("y") > LONG_LINE), sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _MAPS)).otherwise(apart)
     return sizes & places & ((100 + percent) * apart <= (100 - percent) * (n("x") + n("y")))
 
 
@@ -133,7 +137,7 @@ def _with_heads(lines: DataFrame, pairs: DataFrame, percent: int, scratch: Scrat
 
 
 def _candidates(lines: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) of lines (line_id, n, low, high, prefix, open), one of them open, that share a word of their prefixes and may be similar."""
+    """Distinct (a, b) of lines (line_id, n, *_MAPS, prefix, open), one of them open, that share a word of their prefixes and may be similar."""
     words = _prefix_rows(lines)
     x, y = words.alias("x"), words.alias("y")
     either = F.col("x.held").bitwiseOR(F.col("y.held")).bitwiseAND(F.lit(1)) == 1
@@ -141,13 +145,26 @@ def _candidates(lines: DataFrame, percent: int) -> DataFrame:
     return near.select(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b")).distinct()
 
 
-def _half_map(members: Column, half: int) -> Column:
-    """One of the two halves of a map of 128 bits in which each number sets one."""
-    def bit(m: Column) -> Column:
-        own = F.shiftrightunsigned(m, 6).bitwiseAND(F.lit(1))
-        return F.call_function("shiftleft", own if half else F.lit(1) - own, m.bitwiseAND(F.lit(63)).cast("int"))
+_MAPS = ("low", "high", "low_2", "high_2")
 
-    return F.aggregate(members, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(bit(m)))
+
+def _maps(members: Column) -> list[Column]:
+    """Maps of 64 bits in which each number sets one: by one more of its bits it is in low or high, and in a long line, by another one, in that or its second one."""
+    long_line = F.size(members) > LONG_LINE
+
+    def of(which: int) -> Column:
+        second, high = divmod(which, 2)
+
+        def bit(m: Column) -> Column:
+            own = F.shiftrightunsigned(m, 6).bitwiseAND(F.lit(1))
+            return F.call_function("shiftleft", own if high else F.lit(1) - own, m.bitwiseAND(F.lit(63)).cast("int"))
+
+        among = lambda m: m.bitwiseAND(F.lit(128)) == 128 * second
+        part = F.aggregate(members, F.lit(0).cast("long"), lambda acc, m: F.when(among(m), acc.bitwiseOR(bit(m))).otherwise(acc))
+        whole = F.lit(0).cast("long") if second else F.aggregate(members, F.lit(0).cast("long"), lambda acc, m: acc.bitwiseOR(bit(m)))
+        return F.when(long_line, part).otherwise(whole)
+
+    return [of(i).alias(name) for i, name in enumerate(_MAPS)]
 
 
 def _sets(texts: DataFrame, lines: DataFrame, ids: DataFrame, rarities: bytes, scratch: Scratch) -> DataFrame:
@@ -175,10 +192,10 @@ def later_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     rarities = _rarities(texts, counters)
     sets = texts.select("doc_id", "key", "at", line_set(F.col("line"), rarities).alias("members"))
     prefix = F.transform(F.slice("members", F.lit(1), prefix_size(F.size("members"), percent)), lambda m: F.hash(m))
-    lines = scratch.table(sets.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "key", "at", F.xxhash64("members").alias("class"), F.size("members").alias("n"), _half_map(F.col("members"), 0).alias("low"), _half_map(F.col("members"), 1).alias("high"), prefix.alias("prefix")))
+    lines = scratch.table(sets.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "key", "at", F.xxhash64("members").alias("class"), F.size("members").alias("n"), *_maps(F.col("members")), prefix.alias("prefix")))
     lines = _ordered(lines.where(F.col("n") >= least_words))
 
-    narrow = lines.select("line_id", "class", F.xxhash64("low", "high", "n").alias("also"), "place", "key")
+    narrow = lines.select("line_id", "class", F.xxhash64(*_MAPS, "n").alias("also"), "place", "key")
     firsts = narrow.groupBy("class", "also").agg(F.min_by("line_id", "place").alias("first"), F.min_by("key", "place").alias("first_key"), F.min("place").alias("least"), F.count("*").alias("lines")).where("lines > 1")
     # one line stands for its class; rows that repeat share its place, and their lines are no later ones
     same = scratch.table(narrow.join(firsts, ["class", "also"]).where("line_id <> first").select("line_id", ((F.col("place") != F.col("least")) | (F.col("key") != F.col("first_key"))).alias("later")))
@@ -191,7 +208,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     scratch.drop(full, pairs)
 
     mark = sized_broadcast(settled.select("line_id", F.lit(True).alias("settled")), settled.count())
-    rest = distinct.join(mark, "line_id", "left").select("line_id", "n", "low", "high", "prefix", F.col("settled").isNull().alias("open"))
+    rest = distinct.join(mark, "line_id", "left").select("line_id", "n", *_MAPS, "prefix", F.col("settled").isNull().alias("open"))
     near = scratch.table(_candidates(rest, percent))
     of = scratch.table(lines.join(ids(near, "a", "b"), "line_id", "left_semi").join(mark, "line_id", "left").select("line_id", "place", "n", F.slice("prefix", F.lit(1), F.ceil(F.col("n") / HEAD).cast("int")).alias("head"), F.col("settled").isNotNull().alias("settled")))
     directed = scratch.table(_directed(near, of, percent))
