@@ -38,7 +38,9 @@ def test_tokens_of_null(spark):
 def test_chunks(spark):
     body = "净含量：550毫升，保温\n\n短句。a\n" + "很长的一句话" * 7 + "，后半句也不短。尾"
     assert one(spark, text.document_chunks, body) == ["净含量：550毫升，保温", "短句", "很长的一句话" * 7, "后半句也不短"]
-    assert len(one(spark, text.document_chunks, "一二三。" * 300)) == 200
+    assert len(one(spark, text.document_chunks, "一二三。" * 300)) == 300
+    assert len(one(spark, lambda x: text.document_chunks(x, 200), "一二三。" * 300)) == 200
+    assert one(spark, text.document_chunks, "甲乙\u3000\r丙丁\x0b\u3000戊己") == ["甲乙", "丙丁", "戊己"]
     assert one(spark, text.dialogue_chunks, "顾客：好\n\n a \n客服：好") == ["顾客：好", "客服：好"]
 
 

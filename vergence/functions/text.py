@@ -10,7 +10,10 @@ STOP_CHARS = "的了呢吧啊吗么呀哦嘛啦是在有和与及或对其被把
 # A line of a short field name, a colon and a value.
 FIELD_LINE = r"^[一-龥A-Za-z0-9 ]{1,12}\s*[:：]\s*\S.{0,200}$"
 SENTENCE_END, CLAUSE_END = "[。；;]", "[，,、]"
-LONG_SENTENCE, LEAST_CHUNK, MOST_CHUNKS = 40, 2, 200
+LONG_SENTENCE, LEAST_CHUNK = 40, 2
+# Where lines end, and the blanks around them, full-width and no-break ones among them.
+LINE_ENDS, BLANKS = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", " \t\r\x0b\x0c\n\x1c\x1d\x1e\x1f\x85\xa0\u2000\u2001\u2002\u2003\u2009\u2028\u2029\u3000"
+_MARK = "\x01"
 # Marks that a question key drops at its end, and full-width marks with their half-width forms.
 TRAILING_MARKS = "？?！!。，、；;.,"
 WIDE_MARKS, NARROW_MARKS = "，。！？；：、（）～", ",.!?;:,()~"
@@ -26,16 +29,14 @@ def tokens(text: Column) -> Column:
     """All tokens: ASCII letter or digit runs in lower case, and pairs of other letters between them.
 
     Of the characters between two ASCII runs only letters and digits count; a single one is a
-    token of its own, and tokens with a stop character are left out."""
-    runs = F.regexp_extract_all(text, F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), F.lit(0))
-
-    def of_run(run: Column) -> Column:
-        kept = F.regexp_replace(run, r"[^\p{L}\p{N}]", "")
-        pairs = F.transform(F.sequence(F.lit(1), F.length(kept) - 1), lambda i: F.substring(kept, i, F.lit(2)))
-        found = F.when(F.length(kept) == 1, F.array(kept)).when(F.length(kept) > 1, pairs).otherwise(F.array().cast("array<string>"))
-        return F.when(run.rlike("^[A-Za-z0-9]"), F.array(F.lower(run))).otherwise(F.filter(found, lambda t: ~t.rlike(f"[{STOP_CHARS}]")))
-
-    return F.flatten(F.transform(runs, of_run))
+    token of its own, and tokens with a stop character are left out.  The text becomes tokens with
+    marks between them by replacements alone, so that it is read as a whole and not run by run."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    apart = F.regexp_replace(F.translate(text, upper + _MARK, upper.lower()), "[a-z]+|[0-9]+", f"{_MARK}$0{_MARK}")
+    letters = F.regexp_replace(apart, rf"[^\p{{L}}\p{{N}}{_MARK}]+", "")
+    pairs = F.regexp_replace(letters, r"(?<=[^\x00-\x7F])([^\x00-\x7F])(?=[^\x00-\x7F])", f"$1{_MARK}$1")
+    kept = F.regexp_replace(pairs, f"[^{_MARK}]?[{STOP_CHARS}][^{_MARK}]?", "")
+    return F.array_remove(F.split(kept, f"{_MARK}+"), "")
 
 
 def terms(text: Column) -> Column:
@@ -49,7 +50,7 @@ def normalised(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t\r\x0b\x0c\n"))
+    return F.trim(text, F.lit(BLANKS))
 
 
 def _sentence(s: Column) -> Column:
@@ -58,16 +59,17 @@ def _sentence(s: Column) -> Column:
     return F.when(F.length(s) <= LONG_SENTENCE, short).when(F.size(parts) > 0, parts).otherwise(F.array(s))
 
 
-def document_chunks(text: Column, most: int = MOST_CHUNKS) -> Column:
-    """Evidence chunks: a field line whole, other lines by sentence and a long sentence by clause; the first `most` of a document."""
-    lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
+def document_chunks(text: Column, most: int | None = None) -> Column:
+    """Evidence chunks: a field line whole, other lines by sentence and a long sentence by clause; all of them, or the first `most` of a document."""
+    lines = F.filter(F.transform(F.split(text, LINE_ENDS), stripped), lambda x: x != "")
     sentences = lambda line: F.transform(F.split(line, SENTENCE_END), lambda s: F.trim(stripped(s), F.lit("，,、")))
     chunks = F.transform(lines, lambda line: F.when(line.rlike(FIELD_LINE), F.array(line)).otherwise(F.flatten(F.transform(sentences(line), _sentence))))
-    return F.slice(F.flatten(chunks), 1, most)
+    return F.flatten(chunks) if most is None else F.slice(F.flatten(chunks), 1, most)
 
 
-def dialogue_chunks(text: Column, most: int = MOST_CHUNKS) -> Column:
-    return F.slice(F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: F.length(x) >= LEAST_CHUNK), 1, most)
+def dialogue_chunks(text: Column, most: int | None = None) -> Column:
+    lines = F.filter(F.transform(F.split(text, LINE_ENDS), stripped), lambda x: F.length(x) >= LEAST_CHUNK)
+    return lines if most is None else F.slice(lines, 1, most)
 
 
 def masked(text: Column) -> Column:

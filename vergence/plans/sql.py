@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vergence.functions.text import FIELD_LINE, NARROW_MARKS, STOP_CHARS, TRAILING_MARKS, WIDE_MARKS
+from vergence.functions.text import BLANKS as BLANK_CHARS
+from vergence.functions.text import FIELD_LINE, LINE_ENDS, NARROW_MARKS, STOP_CHARS, TRAILING_MARKS, WIDE_MARKS
 
 AS_OF = "timestamp '2024-01-31 00:00:00'"
-BLANKS = "' ' || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)"
+BLANKS = " || ".join(f"chr({ord(c)})" for c in BLANK_CHARS)
+ENDS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in LINE_ENDS[1:-1]) + "]"
 
 
 def strip(x: str) -> str:
@@ -24,15 +26,15 @@ def terms(x: str) -> str:
 
 
 def chunks(x: str) -> str:
-    lines = f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {strip('l')}), lambda l: l <> '')"
+    lines = f"list_filter(list_transform(regexp_split_to_array({x}, '{ENDS}'), lambda l: {strip('l')}), lambda l: l <> '')"
     parts = f"list_filter(list_transform(regexp_split_to_array(s, '[，,、]'), lambda p: {strip('p')}), lambda p: length(p) >= 2)"
     sentence = f"case when length(s) <= 40 then case when length(s) >= 2 then [s] else [] end when len({parts}) > 0 then {parts} else [s] end"
     sentences = f"list_transform(regexp_split_to_array(l, '[。；;]'), lambda q: trim({strip('q')}, '，,、'))"
     field = FIELD_LINE.replace("'", "''")
-    return f"flatten(list_transform({lines}, lambda l: case when regexp_matches(l, '{field}') then [l] else flatten(list_transform({sentences}, lambda s: {sentence})) end))[1:200]"
+    return f"flatten(list_transform({lines}, lambda l: case when regexp_matches(l, '{field}') then [l] else flatten(list_transform({sentences}, lambda s: {sentence})) end))"
 
 
-ASSETS = f"select doc_id as asset_id, source as source_kind, text as body, substring({strip('string_split(text, chr(10))[1]')}, 1, 60) as title from documents"
+ASSETS = f"select doc_id as asset_id, source as source_kind, text as body, {strip('string_split(text, chr(10))[1]')} as title from documents"
 CHUNKS = f"select asset_id, unnest(range(0, len(c))) as seq, unnest(c) as chunk from (select doc_id as asset_id, {chunks('text')} as c from documents)"
 MESSAGES = "select conv_id * 1000 + turn as id, conv_id as session_id, turn, case role when 'user' then 'customer' else 'agent' end as role, text as content from conversations where role in ('user', 'assistant')"
 PRODUCTS = "select p_partkey as id, p_name as name, p_type as category, p_brand as brand, p_size % 10 as stock, case when p_size % 7 <> 0 then cast(round(p_retailprice * 100) as bigint) end as price_cents from part"
@@ -75,8 +77,8 @@ NEXT = f"select id, session_id, role, min(case when role = 'agent' then id end)
 SQL: dict[str, str] = {
     "lexical_top_k": f"select query_id, rank, asset_id, seq, overlap, round(score, 6) as score from ({top(LEXICAL, 5, 'score', 'asset_id, seq')})",
     "retrieve_top_k": f"""with scored as (select query_id, asset_id, seq, round(score * (1 + 3.0 * coalesce(affinity, 0)), 9) as score from ({LEXICAL}) left join ({AFFINITY}) using (query_id, asset_id)),
-        best as (select b.*, chunk, row_number() over (partition by query_id, asset_id, chunk order by seq) as nth from ({top('select * from scored', 20, 'score', 'asset_id, seq')}) b join ({CHUNKS}) using (asset_id, seq))
-        select query_id, place as rank, asset_id, seq, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, asset_id, chunk) as place from best where nth = 1) where place <= 5""",
+        kept as (select * from (select s.*, row_number() over (partition by query_id, asset_id, {mask('chunk')} order by seq) as nth from scored s join ({CHUNKS}) using (asset_id, seq)) where nth = 1)
+        select query_id, rank, asset_id, seq, round(score, 5) as score from ({top('select query_id, asset_id, seq, score from kept', 5, 'score', 'asset_id, seq')})""",
     "retrieval_metrics": f"""with ranked as ({top(LEXICAL, 3, 'score', 'asset_id, seq')}),
         expected as (select item_id as query_id, min(doc_id) as expected from benchmark b join documents d on contains(d.text, b.text) group by item_id),
         cases as (select item_id as query_id, expected, case when expected is null then 'open' else 'answerable' end as case_group from benchmark left join expected on item_id = query_id),
@@ -142,7 +144,7 @@ SQL: dict[str, str] = {
     "order_summary": "select 'SO-' || o_orderkey as order_no, o_orderstatus as status, count(l_orderkey) as n_items, coalesce(sum(l_quantity), 0) as quantity from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_orderstatus",
     "return_eligibility": """with asked as (select distinct 'SO-' || (l_orderkey * 2) as order_no from lineitem where l_linenumber = 1)
         select order_no, case when o_orderdate is null then 'not_found' when timestamp '1998-01-10 00:00:00' - o_orderdate <= interval 15 days then 'eligible' else 'ineligible' end as verdict from asked left join orders on order_no = 'SO-' || o_orderkey""",
-    "never_ordered": "select p_partkey as id, p_name as name, p_type as category from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)",
+    "never_ordered": "select p_partkey as id, p_name as name, p_type as category from part where p_partkey not in (select l_partkey from lineitem)",
     "customer_orders": "select c_custkey, count(o_orderkey) as n_orders, coalesce(sum(cast(round(o_totalprice * 100) as bigint)), 0)::bigint as spent_cents, max(o_orderdate) as last_order from customer left join orders on o_custkey = c_custkey group by c_custkey",
     "stock_signals": f"""select * from (select 1 as priority, 'stock_out' as signal, id from ({PRODUCTS}) where stock = 0 order by id limit 10) union all
         select * from (select 2, 'stock_low', id from ({PRODUCTS}) where stock > 0 and stock <= 5 order by id limit 10) union all
@@ -195,7 +197,7 @@ SQL |= {
         words as (select term, count(*) as support from scored group by term having count(*) > 1 order by support desc, term limit 30),
         two as (select *, row_number() over (partition by term order by asset_id) as nth from scored join words using (term))
         select term as word, support, asset_id from (select *, row_number() over (partition by term order by score desc, asset_id) as best from two where nth <= 2) where best = 1""",
-    "without_evidence": f"""with q as (select page_id as query_id, unnest({terms('substring(title, 1, 12)')}) as term from ({SQL['page_titles']})), corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}) where asset_id % 7 = 0)
+    "without_evidence": f"""with q as (select p_partkey as query_id, unnest({terms('p_name')}) as term from part), corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}))
         select query_id from q group by query_id having count(*) filter (term in (select term from corpus)) = 0""",
     "unknown_words": f"""with q as (select query_id, unnest(w) as term, unnest(range(0, len(w))) as pos from (select page_id as query_id, regexp_extract_all(lower(title), '[a-z]+') as w from ({SQL['page_titles']}))),
         corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}))

@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset_id, version_no, title, source_kind, lang, body): each document is a published asset of one version."""
     first = text.stripped(F.substring_index("text", "\n", 1))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), F.lit(1).alias("version_no"), F.substring(first, 1, 60).alias("title"), F.col("source").alias("source_kind"), "lang", F.col("text").alias("body"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), F.lit(1).alias("version_no"), first.alias("title"), F.col("source").alias("source_kind"), "lang", F.col("text").alias("body"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset_id, version_no, seq, chunk)."""
-    return assets(spark, sf_dir).select("asset_id", "version_no", F.posexplode(text.document_chunks(F.col("body"))).alias("seq", "chunk"))
+    every = assets(spark, sf_dir).select("asset_id", "version_no", F.posexplode_outer(text.document_chunks(F.col("body"))).alias("seq", "chunk"))
+    return every.where("chunk is not null")  # after the explosion, so that no filter computes the chunks a second time
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
