@@ -35,7 +35,8 @@ def tokens(text: Column) -> Column:
     apart = F.regexp_replace(F.translate(text, upper + _MARK, upper.lower()), "[a-z]+|[0-9]+", f"{_MARK}$0{_MARK}")
     letters = F.regexp_replace(apart, rf"[^\p{{L}}\p{{N}}{_MARK}]+", "")
     pairs = F.regexp_replace(letters, r"(?<=[^\x00-\x7F])([^\x00-\x7F])(?=[^\x00-\x7F])", f"$1{_MARK}$1")
-    kept = F.regexp_replace(pairs, f"[^{_MARK}]?[{STOP_CHARS}][^{_MARK}]?", "")
+    # only Chinese text can have a stop character
+    kept = F.when(text.rlike("[一-龥]"), F.regexp_replace(pairs, f"[^{_MARK}]?[{STOP_CHARS}][^{_MARK}]?", "")).otherwise(pairs)
     return F.array_remove(F.split(kept, f"{_MARK}+"), "")
 
 

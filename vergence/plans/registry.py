@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vergence.functions import fields, labels, text
+from vergence.functions import fields, text
 from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats
-from vergence.plans import sql
+from vergence.plans import more, sql
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
 
@@ -350,13 +350,6 @@ def sampled_frames(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.size("p").alias("n"), F.floor(F.coalesce(F.array_max("p"), F.lit(0.0)) + 0.0005).cast("int").alias("last"))
 
 
-def question_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Messages by the classifiers' labels."""
-    asked = views.messages(spark, d).where("role = 'customer'")
-    q = F.col("content")
-    return asked.groupBy(F.coalesce(labels.catalog_intent(q), F.lit("none")).alias("intent"), labels.wants_return(q).alias("wants_return"), labels.scope_kind(q, F.lit(False)).alias("scope")).agg(F.count("*").alias("n"))
-
-
 def common_questions(spark: SparkSession, d: str) -> DataFrame:
     """Pages by host: count, the most frequent title (the first of equals)."""
     titles = audit.page_titles(table(spark, d, "pages")).groupBy("host", "title").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
@@ -417,6 +410,7 @@ QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
     search_documents, term_frequencies, page_titles, stock_summary, price_summary, category_listing, product_page, order_summary, return_eligibility,
     never_ordered, customer_orders, stock_signals, running_start, even_buckets, rate_limiter, pause_segments, label_quality, event_id_ranges, training_pairs,
     refusal_gaps, citation_lineage, down_voted, topic_groups, json_filter, work_queue, supply_by_nation, idle_customers, top_orders, age_buckets, next_version,
-    timecodes, sampled_frames, question_kinds, common_questions, hourly_kinds, events_by_level, cascade, affinity_after, affinity_ties, shared_words,
+    timecodes, sampled_frames, common_questions, hourly_kinds, events_by_level, cascade, affinity_after, affinity_ties, shared_words,
     without_evidence, unknown_words,
 )}
+QUERIES |= {f.__name__: (f, more.SQL.get(f.__name__)) for f in more.QUERIES}

@@ -177,7 +177,6 @@ SQL: dict[str, str] = {
         select event_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) as start, printf('%02d:%02d:%02d', e // 3600, (e // 60) % 60, e % 60) as end, s as start_s from b""",
     "sampled_frames": """with x as (select event_id, value, greatest(2.0::double, value / 12) as step from events), y as (select *, case when value > 0 then least(12, ceil(value / step))::int else 0 end as n from x)
         select event_id, n, floor(case when n > 0 then (n - 1) * step else 0 end + 0.0005)::int as last from y""",
-    "question_kinds": f"select 'none' as intent, false as wants_return, 'not_scope' as scope, count(*) as n from ({MESSAGES}) where role = 'customer'",
     "common_questions": f"""with t as (PAGES), g as (select host, title, count(*) as n, min(page_id) as first from t group by host, title)
         select host, sum(n)::bigint as n, arg_max(first, n * 1000000000 - first) as page_id from g group by host""",
     "hourly_kinds": """select date_trunc('hour', ts) as hour, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'error') as error, count(*) filter (event_type = 'purchase') as purchase,
