@@ -4,7 +4,6 @@ import hashlib
 import itertools
 import random
 import re
-import zlib
 
 import numpy as np
 import public_tokenizers
@@ -178,6 +177,17 @@ def test_shards(spark, shards):
         assert r["record_bytes"] == len((r["text"] or "").encode()) + 16
 
 
+def test_slots_do_not_depend_on_the_cluster(spark):
+    """The same slots whatever the number of partitions and the order of the rows."""
+    d, held = docs(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(sorted(str((r["doc_id"], r["text"], r["shard"], r["slot"])) for r in sharding.shard(d.repartition(parts), 3, bucket_bytes=60_000).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0] == found[1]
+
+
 def test_shards_written(spark, tmp_path):
     sharding.write_shards(frame(spark, [f"t{i}" for i in range(50)]), str(tmp_path / "out"), shards=5)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
@@ -370,9 +380,57 @@ def test_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 206))
 
 
-def test_shared_folder_is_read_from_the_session(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_more_vectors_take_more_passes():
+    assert vectors.passes_for(100, 0.9, 48) == vectors.passes_for(50_000, 0.9, 48) == vectors.PASSES
+    assert vectors.passes_for(50_000_000, 0.9, 48) > 90
+
+
+def test_repeated_ids_unite_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = minhash.near_duplicates(spark.createDataFrame([(5, a), (5, b), (1, b), (9, a), (7, "c")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 7, True), (9, 1, False)]
+
+
+def plain_kneser_ney(counts, order):
+    """p of every n-gram by the definition, with plain dicts."""
+    tables = {order: dict(counts)}
+    for size in range(order - 1, 0, -1):
+        tables[size] = {}
+        for gram in tables[size + 1]:
+            tables[size][gram[1:]] = tables[size].get(gram[1:], 0) + 1
+    p = {"": 1e-7}
+    for size in range(1, order + 1):
+        ones, twos = (sum(n == k for n in tables[size].values()) for k in (1, 2))
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
+        for gram, n in tables[size].items():
+            same = [m for g, m in tables[size].items() if g[:-1] == gram[:-1]]
+            p[gram] = (n - d) / sum(same) + d * len(same) / sum(same) * p[gram[1:] if size > 1 else ""]
+    return p
 
 
-def test_folds():
-    assert zlib.crc32(b"5") % 4 in range(4)
+def test_kneser_ney_like_the_definition(spark):
+    rng = random.Random(5)
+    rows_ = spark.createDataFrame([("xx", "".join(rng.choice("abc d") for _ in range(300)))], "lang string, text string")
+    counts = langid.gram_counts(rows_, 3)
+    want = plain_kneser_ney({r["gram"]: r["n"] for r in counts.collect()}, 3)
+    for table in langid.kneser_ney(counts, 3):
+        for r in table.collect():
+            assert r["p"] == pytest.approx(want[r["gram"]], rel=1e-9)
+
+
+def test_markov_ratios_like_plain_counts(spark):
+    texts = ["token=abcdABCD1234abcd and ordinary words likethis", "secret: zzzzYYYY0000xxxx plainwords"]
+    ratios, secret, plain = secrets.train(frame(spark, texts)), ["abcdABCD1234abcd", "zzzzYYYY0000xxxx"], []
+    for t in texts:
+        plain += [w for w in dict.fromkeys(re.findall(secrets.ORDINARY, t)) if w not in secret]
+
+    def log_p(words, x, y):
+        pairs = [(a, b) for w in words for a, b in zip(w, w[1:])]
+        return np.log((pairs.count((x, y)) + 1) / (sum(a == x for a, _ in pairs) + 66))
+
+    for x, y in ("ab", "zz", "li", "00", "qq"):
+        assert ratios[ord(x) * 128 + ord(y)] == pytest.approx(log_p(secret, x, y) - log_p(plain, x, y), abs=1e-9)
+
+
+def test_shared_folder_is_read_from_the_session(spark):
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
