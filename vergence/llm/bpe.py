@@ -93,24 +93,29 @@ def _parted(lengths: bytes, contents: bytes) -> list[bytes]:
 
 _BLOCK = "block long, doc_ids array<string>, codes binary, bucket int, lengths binary, contents binary"
 
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.string())), ("codes", pa.binary()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("contents", pa.binary())])
+
 
 def _blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> DataFrame:
     """Rows of a block: (doc_ids, codes, lengths) of some documents, then its distinct words by bucket, then each word's bucket.
 
     Codes number a block's words by falling frequency; within a bucket the words stand by number."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
         words, ids, codes, size = _Numbers(), [], [], 0
 
-        def rows() -> Iterator[pd.DataFrame]:
+        def made(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block] * n if f.name == "block" else columns.get(f.name, [None] * n), f.type) for f in _BLOCK_ARROW], schema=_BLOCK_ARROW)
+
+        def rows() -> Iterator[pa.RecordBatch]:
             order = np.argsort(-np.bincount(np.concatenate(codes), minlength=len(words)), kind="stable") if words else np.empty(0, np.int64)
             number = np.empty(len(order), np.uint32)
             number[order] = np.arange(len(order), dtype=np.uint32)
             ends = np.cumsum([len(c) for c in codes]) // _ROW_CODES  # documents of a row
             for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ends)) + 1):
                 row = packed(number[np.concatenate([codes[i] for i in at])])
-                yield pd.DataFrame({"block": block, "doc_ids": [[ids[i] for i in at]], "codes": [row], "bucket": None, "lengths": [packed(np.array([len(codes[i]) for i in at], np.uint32))], "contents": None})
+                yield made(1, doc_ids=[[ids[i] for i in at]], codes=[row], lengths=[packed(np.array([len(codes[i]) for i in at], np.uint32))])
             seen = [w.encode("utf-8", "surrogatepass") for w in words]
             of_bucket, every = [[] for _ in range(buckets)], np.empty(len(seen), np.uint32)
             for n, i in enumerate(order.tolist()):
@@ -119,21 +124,23 @@ def _blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> Da
             lists = [(i, *_joined(of)) for i, of in enumerate(of_bucket) if of] + [(None, packed(every), None)]
             for i in range(0, len(lists), _BATCH):
                 bucket, lengths, contents = zip(*lists[i : i + _BATCH])
-                yield pd.DataFrame({"block": block, "doc_ids": None, "codes": None, "bucket": pd.array(bucket, "Int32"), "lengths": lengths, "contents": contents})
+                yield made(len(bucket), bucket=bucket, lengths=lengths, contents=contents)
 
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"].tolist() if pdf["doc_id"].notna().all() else [None if pd.isna(d) else int(d) for d in pdf["doc_id"]], pdf["text"]):
-                found = find(text)
-                codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
-                ids.append(None if doc is None else str(doc))
-                size += len(text)
-                if size >= block_bytes:
-                    yield from rows()
-                    words, ids, codes, size, block = _Numbers(), [], [], 0, block + 1
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE_ROWS):  # so that few texts are held at once
+                part = batch.slice(at, _SLICE_ROWS)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    found = find(text)
+                    codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                    ids.append(None if doc is None else str(doc))
+                    size += len(text)
+                    if size >= block_bytes:
+                        yield from rows()
+                        words, ids, codes, size, block = _Numbers(), [], [], 0, block + 1
         if ids:
             yield from rows()
 
-    return docs.mapInPandas(split, _BLOCK)
+    return docs.mapInArrow(split, _BLOCK)
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
