@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text after which a block of documents ends, bytes of text for each bucket of words, and the most buckets.
-BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 256 << 20, 4096
+BLOCK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 5 << 20, 256 << 20, 4096
 #: Distinct words that a worker keeps encoded at once; beyond it starts anew.
 _KEPT_WORDS = 1_000_000
 _BATCH, _ROW_CODES, _SLICE_ROWS = 512, 1 << 17, 256
