@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ UNKNOWN = "und"
 _TEMPERATURES = [2.0**i for i in range(-6, 7)]
 #: Characters that are scored, and counted, at once, and windows whose bits a worker keeps, newer ones in a small table of their own.
 _PIECE, _COUNTED, _KEPT, _NEWER = 1 << 17, 1 << 19, 1 << 18, 1 << 15
+#: Rows of an Arrow batch that are texts in Python at once, where they are scored and where they are counted.
+_SCORED_ROWS, _COUNTED_ROWS = 256, 1024
 _NEVER = 1e-7  # probability of a character that a language has never had
 _FACTOR, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -188,16 +191,20 @@ def bounded_sample(rows: DataFrame, group: str, text_col: str, chars: int) -> Da
 def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n) of rows (lang, text)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, of in pdf.groupby("lang"):
-                for windows, _ in _windows(of["text"], order, _COUNTED):
-                    numbers, first = _distinct(hashes(windows))
-                    flat = windows[first].astype("<u4").tobytes().decode("utf-32-le")
-                    grams = [flat[i : i + order] for i in range(0, len(flat), order)]
-                    yield pd.DataFrame({"lang": lang, "gram": grams, "n": np.bincount(numbers)})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _COUNTED_ROWS):
+                part, texts = batch.slice(at, _COUNTED_ROWS), {}
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    texts.setdefault(lang, []).append(text)
+                for lang, of in texts.items():
+                    for windows, _ in _windows(of, order, _COUNTED):
+                        numbers, first = _distinct(hashes(windows))
+                        flat = windows[first].astype("<u4").tobytes().decode("utf-32-le")
+                        grams = [flat[i : i + order] for i in range(0, len(flat), order)]
+                        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams, "n": np.bincount(numbers)})
 
-    return rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int, least: dict[str, int] | None = None) -> list[DataFrame]:
@@ -305,14 +312,20 @@ def has_letter(text: Column) -> Column:
 def _entropies(models: Models):
     shared = _shared(models)
 
-    @F.pandas_udf("bits array<double>, n double")
-    def entropies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("bits array<double>, n double")
+    def entropies(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for texts in batches:
-            bits, n = scorer.entropies(list(texts))
-            yield pd.DataFrame({"bits": list(bits), "n": n})
+        for texts in _slices(batches):
+            bits, n = scorer.entropies(texts)
+            yield pa.StructArray.from_arrays([pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(n, pa.float64())], ["bits", "n"])
 
-    return entropies
+    return entropies.asNondeterministic()  # so that a filter on the result doesn't compute it a second time
+
+
+def _slices(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        for at in range(0, len(batch), _SCORED_ROWS):
+            yield batch.slice(at, _SCORED_ROWS).to_pylist()
 
 
 def _shared(models: Models):
@@ -336,21 +349,22 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected"))
     shared = _shared(models)
 
-    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         scorer, names = Scorer(m), np.array(m.languages, object)
-        for texts in batches:
-            bits, n = scorer.entropies(list(texts))
+        for texts in _slices(batches):
+            bits, n = scorer.entropies(texts)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
             p = 1 / np.exp((least[:, None] - bits) * np.sqrt(n)[:, None] / m.temperature).sum(axis=1)
             rejected = np.zeros(len(bits), bool)
             if m.means is not None:
                 rejected = (least - m.means[best] - REJECT_BITS) * np.sqrt(n) > REJECT_ERRORS * m.spreads[best]
-            yield pd.DataFrame({"lang_pred": names[best], "score": p, "entropy": least, "rejected": rejected})
+            found = [pa.array(names[best], pa.string()), pa.array(p, pa.float64()), pa.array(least, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.StructArray.from_arrays(found, ["lang_pred", "score", "entropy", "rejected"])
 
-    found = docs.withColumn("_found", F.when(has_letter(F.col(text_col)), decide(F.col(text_col))))
+    found = docs.withColumn("_found", F.when(has_letter(F.col(text_col)), decide.asNondeterministic()(F.col(text_col))))
     none = F.col("_found").isNull()
     values = [F.coalesce(F.col("_found.lang_pred"), F.lit(UNKNOWN)), F.coalesce(F.col("_found.score"), F.lit(0.0)), F.col("_found.entropy"), none | F.col("_found.rejected")]
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(name) for v, name in zip(values, names)])
