@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vergence.functions import fields, text
 from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats
-from vergence.plans import more, sql
+from vergence.plans import more, rules, sql
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
 
@@ -414,3 +414,4 @@ QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
     without_evidence, unknown_words,
 )}
 QUERIES |= {f.__name__: (f, more.SQL.get(f.__name__)) for f in more.QUERIES}
+QUERIES |= {f.__name__: (f, rules.SQL[f.__name__]) for f in rules.QUERIES}
