@@ -15,6 +15,12 @@ HIGHLIGHT = "（切片高光）"
 NO_SPECS = "（规格事实尚未写回，暂无可组装的治理口径）"
 MOST_CHARS = 2000
 LONGEST_SPAN, SHORTEST_SPAN = 4, 2
+REVIEW_HEAD, QUESTION_HEAD, TITLE_MOST = 18, 30, 200
+NO_TITLE = "未命名资产"
+FIELD = r"^([一-龥A-Za-z0-9]{1,12}?)\s*[:：]\s*(\S.{0,200})$"
+ENDINGS = (("是多少", "", "有多少"), ("是什么", "", "是多少"), ("怎么样", "请问", "值得入手吗"), ("吗", "", "，对吧"))
+ELSE_ENDING = "，麻烦告知"
+PROPOSAL = r"(?is)TOOL:\s*(\w+)\s*(\{.*?\})"
 
 
 def answer_path(kind: Column, generated: Column, tool: Column, rejected: Column) -> Column:
@@ -97,3 +103,56 @@ def source_corrected(source: Column, title: Column, rules: list[tuple[str, str]]
     for pattern, kind in reversed(rules):
         fixed = F.when((source == "upload") & title.rlike(pattern), F.lit(kind)).otherwise(fixed)
     return fixed
+
+
+def review_title(category: Column, review: Column) -> Column:
+    return F.concat(category, F.lit("评论 · "), F.substring(text.stripped(review), 1, REVIEW_HEAD))
+
+
+def dialogue_title(flow: Column, subflow: Column, question: Column) -> Column:
+    """`flow/subflow · question`, without what is missing."""
+    scene = F.array_join(F.array_compact(F.array(filled(flow), filled(subflow))), "/")
+    head = F.substring(F.coalesce(question, F.lit("")), 1, QUESTION_HEAD)
+    title = F.when(head != "", F.concat(scene, F.lit(" · "), head)).when(scene != "", scene).otherwise("ABCD 对话")
+    return F.substring(title, 1, TITLE_MOST)
+
+
+def evidence_sentence(kind: Column, title: Column, chunk: Column) -> Column:
+    """A hit as a sentence: a dialogue's words, a document's field or its text."""
+    name = F.concat(F.lit("根据已发布的规格文档《"), F.coalesce(filled(title), F.lit(NO_TITLE)), F.lit("》"))
+    field = F.concat(name, F.lit("，"), F.regexp_extract(chunk, FIELD, 1), F.lit("为"), F.regexp_extract(chunk, FIELD, 2), F.lit("。"))
+    plain = F.concat(name, F.lit("："), chunk, F.lit("。"))
+    return F.when(kind == "dialogue", F.concat(F.lit("根据已发布的客服对话记录："), chunk)).when(chunk.rlike(FIELD), field).otherwise(plain)
+
+
+def rephrased(question: Column) -> Column:
+    """The question with the ending of the first rule that it meets changed."""
+    out = F.concat(question, F.lit(ELSE_ENDING))
+    for ending, before, after in reversed(ENDINGS):
+        out = F.when(F.endswith(question, F.lit(ending)), F.concat(F.lit(before), F.regexp_replace(question, f"{ending}$", after))).otherwise(out)
+    return out
+
+
+def field_questions(name: Column, field: Column, value: Column) -> Column:
+    """What is asked about a field: of a value with a digit whether it is that and how much, else what it is."""
+    about = F.concat(name, F.lit("的"), field)
+    return F.when(value.rlike("[0-9]"), F.array(F.concat(about, F.lit("是"), value, F.lit("吗")), F.concat(about, F.lit("是多少")))).otherwise(F.array(F.concat(about, F.lit("是什么"))))
+
+
+def masked_fields(entries: Column, mask) -> Column:
+    """A map of (value, qa) with the values and the questions and answers masked; a pair without one of them stays."""
+    pair = lambda p: F.when(p["q"].isNotNull() & p["a"].isNotNull(), F.struct(mask(p["q"]).alias("q"), mask(p["a"]).alias("a"))).otherwise(p)
+    return F.transform_values(entries, lambda _, e: F.struct(mask(e["value"]).alias("value"), F.transform(e["qa"], pair).alias("qa")))
+
+
+def proposal(said: Column, tools: dict[str, tuple[str, str]]) -> Column:
+    """What a model asks for: none, handoff, `tool:argument` or rejected.  tools: name to its one argument and the argument's pattern."""
+    name, held = F.regexp_extract(said, PROPOSAL, 1), F.regexp_extract(said, PROPOSAL, 2)
+    args = F.from_json(held, "map<string,string>")
+    asked = F.lit("rejected")
+    for tool, (key, pattern) in tools.items():
+        value = F.element_at(args, key)
+        fits = (F.size(args) == 1) & F.coalesce(value.rlike(f"^(?:{pattern})$"), F.lit(False))
+        asked = F.when((name == tool) & fits, F.concat(F.lit(f"{tool}:"), F.upper(value))).otherwise(asked)
+    plain = F.when(said.rlike(r"(?i)\bTOOL\b"), "rejected").otherwise("none")
+    return F.when(F.coalesce(name, F.lit("")) == "", plain).when(F.lower(name) == "handoff", "handoff").otherwise(asked)

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vergence.functions import fields, rules, text
+
 PENDING, NO_NAME = "pending", "—"
 #: The lowest shares, in per cent, that a change of the retrieval may leave.
 POSITIVE_FLOOR, REFUSAL_FLOOR = 98.8, 86.7
+#: Hits that an answer is made of, characters of a candidate's label, seconds of a clip made from a pair.
+MOST_EVIDENCE, MOST_LABEL, CLIP_SECONDS = 2, 120, 40
 
 
 def reference_images(assets: DataFrame, versions: DataFrame) -> DataFrame:
@@ -101,3 +105,62 @@ def embedding_gaps(chunks: DataFrame, vectors: DataFrame, keys: list[str]) -> Da
     """(total, missing): chunks, and those that no vector is held for."""
     held = vectors.select(*keys, F.lit(True).alias("_held")).distinct()
     return chunks.join(held, keys, "left").agg(F.count("*").alias("total"), F.count_if(F.col("_held").isNull()).alias("missing"))
+
+
+def composed_answers(questions: DataFrame, hits: DataFrame, assets: DataFrame) -> DataFrame:
+    """(query_id, kind, content, citations): the sentences of the two best hits (query_id, rank, asset_id, version_no, chunk),
+    and what they cite, each once; a question without a hit is refused."""
+    best = hits.where(F.col("rank") <= MOST_EVIDENCE).join(assets.select("asset_id", "kind", "title"), "asset_id", "left")
+    said = best.select("query_id", F.struct("rank", rules.evidence_sentence(F.col("kind"), F.col("title"), F.col("chunk")).alias("said"), F.struct("asset_id", "version_no").alias("cited")).alias("h"))
+    of = said.groupBy("query_id").agg(F.array_sort(F.collect_list("h")).alias("h"))  # two at most
+    content, cited = F.array_join(F.col("h.said"), "\n"), F.array_distinct(F.col("h.cited"))
+    kind = F.when(F.col("h").isNull(), "refusal").otherwise("answer")
+    return questions.select("query_id").join(of, "query_id", "left").select("query_id", kind.alias("kind"), content.alias("content"), cited.alias("citations"))
+
+
+def derived_questions(assets: DataFrame) -> DataFrame:
+    """(asset_id, version_no, source, pair_index, question, answer) of dialogues (asset_id, version_no, qa, transcript): a
+    question for each pair with one; where there is none, the customer's first line, masked."""
+    asked = lambda p: F.coalesce(text.stripped(p["q"]), F.lit("")) != ""
+    pairs = F.filter(F.transform("qa", lambda p, i: F.struct(p["q"].alias("q"), p["a"].alias("a"), i.alias("i"))), asked)
+    lines = F.transform(F.split("transcript", "\n"), text.stripped)
+    said = F.filter(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("顾客："))), lambda x: text.stripped(F.substring(x, 4, 1 << 30))), lambda x: x != "")
+    none = F.lit(None).cast("int")
+    first = F.transform(F.slice(said, 1, 1), lambda x: F.struct(text.masked(x).alias("q"), F.lit(None).cast("string").alias("a"), none.alias("i")))
+    has = F.coalesce(F.size(pairs), F.lit(0)) > 0
+    rows = assets.select("asset_id", "version_no", F.when(has, "qa").otherwise("transcript").alias("source"), F.explode(F.when(has, pairs).otherwise(first)).alias("p"))
+    answer = F.when(text.stripped(F.col("p.a")) != "", text.stripped(F.col("p.a")))
+    return rows.select("asset_id", "version_no", "source", F.col("p.i").alias("pair_index"), text.stripped(F.col("p.q")).alias("question"), answer.alias("answer"))
+
+
+def asked_questions(keys: DataFrame, questions: DataFrame) -> DataFrame:
+    """The questions of the keys (asset_id, version_no, source, pair_index); of a version that is no longer current there are none."""
+    valid = keys.where((F.col("source") == "transcript") | ((F.col("source") == "qa") & F.col("pair_index").isNotNull())).distinct().alias("k")
+    q = questions.alias("q")
+    same = [F.col(f"k.{c}") == F.col(f"q.{c}") for c in ("asset_id", "version_no", "source")]
+    return valid.join(q, [*same, F.col("k.pair_index").eqNullSafe(F.col("q.pair_index"))]).select("q.*")
+
+
+def candidate_rows(segments: DataFrame, source: str) -> DataFrame:
+    """A pending candidate for each segment (recording_id, label, start, end, transcript), bound to its recording."""
+    label = F.substring("label", 1, MOST_LABEL)
+    return segments.select("recording_id", F.lit(PENDING).alias("status"), fields.timecode(F.col("start")).alias("timecode_start"), fields.timecode(F.col("end")).alias("timecode_end"), "transcript", F.lit(source).alias("transcript_source"), label.alias("label"))
+
+
+def pair_clips(pairs: DataFrame) -> DataFrame:
+    """(at, timecode_start, timecode_end, transcript) of numbered pairs (at, query, name): clips of 40 seconds, one after the other."""
+    start = F.col("at") * CLIP_SECONDS
+    said = F.concat(F.lit("顾客问 "), "query", F.lit(" —— "), "name", F.lit("（标注：Exact）"))
+    return pairs.select("at", fields.timecode(start).alias("timecode_start"), fields.timecode(start + CLIP_SECONDS - 1).alias("timecode_end"), said.alias("transcript"))
+
+
+def product_assets(assets: DataFrame) -> DataFrame:
+    """(product_id, place, asset_id, published): a product's live assets by id; a pointer makes one published."""
+    live = assets.where(F.col("discarded_at").isNull() & F.col("product_id").isNotNull())
+    return live.select("product_id", F.row_number().over(W.partitionBy("product_id").orderBy("asset_id")).alias("place"), "asset_id", F.col("pointer").isNotNull().alias("published"))
+
+
+def readiness(checks: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
+    """(check, found, ready): for each check, how many rows meet its condition and whether that count, as `found`, meets its expectation."""
+    rows = [df.agg(F.count_if(where).alias("found")).select(F.lit(name).alias("check"), "found", expected.alias("ready")) for name, (df, where, expected) in checks.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions import rules, text
@@ -227,3 +228,112 @@ def redlines(spark: SparkSession, d: str) -> DataFrame:
 def embedding_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Documents, and those without a vector."""
     return material.embedding_gaps(table(spark, d, "documents").select("doc_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), ["doc_id"])
+
+
+SAID = "case when event_id % 2 = 0 then '重量：' || event_type else event_type end"
+
+
+@query(f"""with h as (select *, row_number() over (partition by user_id order by event_id) as rank from events),
+    t as (select user_id, string_agg(case when event_id % 5 % 2 = 0 then '根据已发布的客服对话记录：' || {SAID} else '根据已发布的规格文档《' || case event_id % 5 when 3 then '未命名资产' else 'T' || event_id % 5 end || '》' || case when event_id % 2 = 0 then '，重量为' else '：' end || event_type || '。' end, chr(10) order by rank) as content, count(distinct event_id % 5) as cited from h where rank <= 2 group by 1)
+    select c_custkey as query_id, case when content is null then 'refusal' else 'answer' end as kind, content, coalesce(cited, 0) as cited from customer left join t on user_id = c_custkey""")
+def template_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers put together from the two best hits."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    hits = views.telemetry(spark, d).select(F.col("user_id").alias("query_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("rank"), (event % 5).alias("asset_id"), F.lit(1).alias("version_no"), F.when(event % 2 == 0, F.concat(F.lit("重量："), kind)).otherwise(kind).alias("chunk"))
+    assets = spark.range(5).select(F.col("id").alias("asset_id"), F.when(F.col("id") % 2 == 0, "dialogue").otherwise("document").alias("kind"), F.when(F.col("id") != 3, F.concat(F.lit("T"), F.col("id").cast("string"))).alias("title"))
+    found = material.composed_answers(table(spark, d, "customer").select(F.col("c_custkey").alias("query_id")), hits, assets)
+    return found.select("query_id", "kind", "content", F.coalesce(F.size("citations"), F.lit(0)).alias("cited"))
+
+
+@query("select p_partkey, p_type || '评论 · ' || left(p_name || ' ' || p_brand, 18) as review, case when p_partkey % 3 = 0 then 'ABCD 对话' when p_partkey % 3 = 1 then p_type || '/' || p_brand else p_brand || ' · ' || left(p_name || p_name || p_name, 30) end as dialogue from part")
+def asset_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of reviews and dialogues."""
+    key = F.col("p_partkey") % 3
+    dialogue = rules.dialogue_title(F.when(key == 1, F.col("p_type")), F.when(key == 0, " ").otherwise(F.col("p_brand")), F.when(key == 2, F.concat("p_name", "p_name", "p_name")))
+    return table(spark, d, "part").select("p_partkey", rules.review_title(F.col("p_type"), F.concat(F.lit(" "), "p_name", F.lit(" "), "p_brand", F.lit(" "))).alias("review"), dialogue.alias("dialogue"))
+
+
+@query(f"select p_partkey, ['', '', '请问', '', ''][p_partkey % 5 + 1] || p_name || ['有多少', '是多少', '值得入手吗', '，对吧', '，麻烦告知'][p_partkey % 5 + 1] as rephrased, case when p_partkey % 2 = 0 then p_name || '的净重是' || p_size || 'g吗,' || p_name || '的净重是多少' else p_name || '的净重是什么' end as asked from part")
+def generated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions in other words, and what is asked about a field."""
+    ending = F.get(F.array(*map(F.lit, ("是多少", "是什么", "怎么样", "吗", ""))), (F.col("p_partkey") % 5).cast("int"))
+    value = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit("g"))).otherwise("轻")
+    return table(spark, d, "part").select("p_partkey", rules.rephrased(F.concat("p_name", ending)).alias("rephrased"), F.array_join(rules.field_questions(F.col("p_name"), F.lit("净重"), value), ",").alias("asked"))
+
+
+PHONE = mask("p_brand || ' 13912345678'")
+
+
+@query(f"select p_partkey, {PHONE} as value, {PHONE} || '|' || p_name as pair from part")
+def masked_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Values and pairs of questions and answers, masked."""
+    phone = F.concat("p_brand", F.lit(" 13912345678"))
+    held = F.create_map(F.lit("note"), F.struct(phone.alias("value"), F.array(F.struct(phone.alias("q"), F.col("p_name").alias("a"))).alias("qa")))
+    shown = rules.masked_fields(held, text.masked)["note"]
+    return table(spark, d, "part").select("p_partkey", shown["value"].alias("value"), F.concat_ws("|", shown["qa"][0]["q"], shown["qa"][0]["a"]).alias("pair"))
+
+
+@query("select o_orderkey, case o_orderkey % 7 when 0 then 'none' when 1 then 'handoff' when 2 then 'get_order:SO-' || o_orderkey else 'rejected' end as asked from orders")
+def tool_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """What models' answers ask for."""
+    key = F.col("o_orderkey").cast("string")
+    said = F.get(F.array(F.lit("您好"), F.lit("tool: Handoff {}"), F.concat(F.lit('好的\nTOOL: get_order {"order_no": "so-'), key, F.lit('"}')), F.lit('TOOL: get_order {"order_no": "all"}'), F.lit('TOOL: drop {"x": "1"}'), F.lit("use TOOL now"), F.lit('TOOL: get_order {"order_no": "so-1", "x": "1"}')), (F.col("o_orderkey") % 7).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", rules.proposal(said, {"get_order": ("order_no", "(?i)so-[0-9]+")}).alias("asked"))
+
+
+def _dialogues(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as dialogues: a third has pairs, a third only what a customer said, a third neither."""
+    key = F.col("p_partkey") % 3
+    pair = lambda q, a: F.struct(q.alias("q"), a.alias("a"))
+    none = F.lit(None).cast("string")
+    qa = F.when(key == 0, F.array(pair(F.lit(" "), F.col("p_type")), pair(F.col("p_name"), F.col("p_brand")), pair(F.concat(F.lit(" "), "p_brand"), none)))
+    said = F.when(key == 1, F.concat(F.lit("客服：您好\n顾客： \n 顾客："), "p_name", F.lit(" 13912345678\n顾客：再见"))).otherwise("客服：您好")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.lit(1).alias("version_no"), qa.alias("qa"), said.alias("transcript"))
+
+
+DERIVED = f"""(select p_partkey as asset_id, 1 as version_no, 'qa' as source, 1 as pair_index, p_name as question, p_brand as answer from part where p_partkey % 3 = 0 union all select p_partkey, 1, 'qa', 2, p_brand, null from part where p_partkey % 3 = 0
+    union all select p_partkey, 1, 'transcript', null, {mask("p_name || ' 13912345678'")}, null from part where p_partkey % 3 = 1)"""
+
+
+@query(f"select * from {DERIVED}")
+def derived_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of dialogues."""
+    return material.derived_questions(_dialogues(spark, d))
+
+
+@query(f"select * from {DERIVED} where (source = 'qa' and pair_index = 1) or (source = 'transcript' and asset_id % 2 = 0)")
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of given keys, of which some are of another version or lack their pair."""
+    at = lambda source, index, version: table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), version.alias("version_no"), F.lit(source).alias("source"), F.lit(index).cast("int").alias("pair_index"))
+    keys = at("qa", 1, F.lit(1)).unionByName(at("qa", None, F.lit(1))).unionByName(at("transcript", None, 1 + F.col("p_partkey") % 2))
+    return material.asked_questions(keys, material.derived_questions(_dialogues(spark, d)))
+
+
+CODE = "lpad(({0} // 3600)::varchar, 2, '0') || ':' || lpad(({0} % 3600 // 60)::varchar, 2, '0') || ':' || lpad(({0} % 60)::varchar, 2, '0')"
+
+
+@query(f"select p_size as at, {CODE.format('(p_size * 40)')} as timecode_start, {CODE.format('(p_size * 40 + 39)')} as timecode_end, '顾客问 ' || p_type || ' —— ' || p_name || '（标注：Exact）' as transcript from part")
+def pair_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of pairs of a question and a product."""
+    return material.pair_clips(table(spark, d, "part").select(F.col("p_size").cast("int").alias("at"), F.col("p_type").alias("query"), F.col("p_name").alias("name")))
+
+
+@query(f"select p_partkey as recording_id, 'pending' as status, {CODE.format('p_size')} as timecode_start, {CODE.format('(p_size + 9)')} as timecode_end, p_name as transcript, 'cloud' as transcript_source, left(repeat(p_brand, 20), 120) as label from part")
+def candidate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of transcribed segments."""
+    size = F.col("p_size").cast("int")
+    return material.candidate_rows(table(spark, d, "part").select(F.col("p_partkey").alias("recording_id"), F.repeat("p_brand", F.lit(20)).alias("label"), size.alias("start"), (size + 9).alias("end"), F.col("p_name").alias("transcript")), "cloud")
+
+
+@query(f"select product_id, row_number() over (partition by product_id order by asset_id) as place, asset_id, pointer is not null as published from {IMAGES}")
+def product_assets(spark: SparkSession, d: str) -> DataFrame:
+    """The live assets of each product."""
+    pointer = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey") * 10 + 1)
+    return material.product_assets(table(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("asset_id"), pointer.alias("pointer"), F.when(F.col("o_orderpriority") == "1-URGENT", AS_OF).alias("discarded_at")))
+
+
+@query("select 'products' as \"check\", count(*) as found, count(*) > 0 as ready from part union all select 'open', count(*) filter (o_orderstatus = 'O'), count(*) filter (o_orderstatus = 'O') = 0 from orders")
+def readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Counts against what is expected."""
+    n = F.col("found")
+    return material.readiness({"products": (table(spark, d, "part"), F.lit(True), n > 0), "open": (table(spark, d, "orders"), F.col("o_orderstatus") == "O", n == 0)})
