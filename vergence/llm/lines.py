@@ -72,7 +72,8 @@ def line_set(line: Column, rarities: bytes) -> Column:
     ranks = F.from_json(F.lit(f"[{','.join(map(str, rarities))}]"), "array<tinyint>")  # folded into a constant
 
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, _counter(h, len(rarities))).cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        rank = F.coalesce(F.get(ranks, _counter(h, len(rarities))), F.lit(0))  # never null, so that Spark sorts plain numbers
+        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
     words = F.transform(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), number)
     return F.sort_array(F.array_remove(F.array_distinct(words), number(F.xxhash64(F.lit("")))))
