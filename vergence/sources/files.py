@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +28,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",")
 
 
 def import_report(rows: DataFrame, number: str) -> DataFrame:
-    """rows (number, title, content) with the reason for which a row is skipped; null for a valid one."""
+    """rows (number, title, content) with the reason for which a row is skipped; null for a valid one.
+
+    An import of more than 200 rows is turned down whole."""
+    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"an import has {MOST_ROWS} rows at most")
     title, content = F.col("title") == "", F.col("content") == ""
     reason = F.when(title & content, "both empty").when(title, "title empty").when(content, "content empty").when(F.octet_length("content") > MOST_BYTES, "content too long")
     return rows.withColumn("reason", reason).orderBy(number)
@@ -71,6 +80,30 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).withColumn("ok", F.col("text").isNotNull())
 
 
+def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(path, at, *columns), trimmed, of the first CSV file in each archive; it is UTF-8 or else GB18030.
+
+    An archive is read by one task; one without a CSV file, or whose text is neither, fails the job."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    raw = archive.read(next(n for n in archive.namelist() if n.lower().endswith(".csv")))
+                try:
+                    decoded = raw.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    decoded = raw.decode("gb18030")
+                found = pd.read_csv(io.StringIO(decoded), dtype=str, keep_default_na=False).rename(columns=str.strip)[columns]
+                found = found.apply(lambda c: c.str.strip())
+                found.insert(0, "at", range(len(found)))
+                found.insert(0, "path", name)
+                yield found
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(rows, ", ".join(["path string", "at long", *[f"`{c}` string" for c in columns]]))
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """JSON lines, masked: one object for each sample (instruction, output, source)."""
     masked_ = samples.select(*[masked(F.col(c)).alias(c) if dict(samples.dtypes)[c] == "string" else F.col(c) for c in samples.columns])
@@ -78,7 +111,9 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
-    rows.write.mode("overwrite").csv(path, header=True, sep=sep)
+    """Files with a header each, which a byte-order mark comes before."""
+    first, *_ = rows.columns
+    rows.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").csv(path, header=True, sep=sep)
 
 
 def missing_rows(fresh: DataFrame, held: DataFrame, key: list[str]) -> DataFrame:
