@@ -20,6 +20,12 @@ NO_TITLE = "未命名资产"
 FIELD = r"^([一-龥A-Za-z0-9]{1,12}?)\s*[:：]\s*(\S.{0,200})$"
 ENDINGS = (("是多少", "", "有多少"), ("是什么", "", "是多少"), ("怎么样", "请问", "值得入手吗"), ("吗", "", "，对吧"))
 ELSE_ENDING = "，麻烦告知"
+PICTURE_STOPS = "的了是在有和与及也就都还这那我你他她它请问一下一个什么怎么怎样多少哪吗呢吧啊呀哦嗯很挺太真个只把被给对能会要又没不"
+PICTURE_PHRASES = (
+    "画面", "背景", "图片", "照片", "图像", "主体", "居中", "清晰", "整体", "拍摄", "实拍", "一张", "这张", "下方", "上方", "中央", "中间", "可见", "呈现", "显示", "周围", "环境", "部分", "位置",
+    "颜色", "色彩",
+)
+LEAST_SHARED = 2
 PROPOSAL = r"(?is)TOOL:\s*(\w+)\s*(\{.*?\})"
 
 
@@ -156,3 +162,19 @@ def proposal(said: Column, tools: dict[str, tuple[str, str]]) -> Column:
         asked = F.when((name == tool) & fits, F.concat(F.lit(f"{tool}:"), F.upper(value))).otherwise(asked)
     plain = F.when(said.rlike(r"(?i)\bTOOL\b"), "rejected").otherwise("none")
     return F.when(F.coalesce(name, F.lit("")) == "", plain).when(F.lower(name) == "handoff", "handoff").otherwise(asked)
+
+
+def picture_words(description: Column) -> Column:
+    """The distinct lower-case ASCII words, and pairs of Chinese characters that have no stop character and aren't about pictures in general."""
+    low = F.lower(F.coalesce(description, F.lit("")))
+    words = F.regexp_extract_all(low, F.lit("[0-9a-z]+"), F.lit(0))
+    pairs_of = lambda run: F.when(F.length(run) > 1, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    runs = F.split(low, f"[^一-鿿]|[{PICTURE_STOPS}]")  # a pair with a stop character lies in no part
+    return F.array_distinct(F.concat(words, F.array_except(F.flatten(F.transform(runs, pairs_of)), F.array(*map(F.lit, PICTURE_PHRASES)))))
+
+
+def description_verdict(confirmed: Column, seen: Column, failed: Column, skipped: Column) -> Column:
+    """Whether two descriptions of a picture share two words, if both are there."""
+    shared = F.size(F.array_intersect(picture_words(confirmed), picture_words(seen)))
+    blank = lambda c: F.coalesce(text.stripped(c), F.lit("")) == ""
+    return F.when(skipped, "skipped").when(failed | blank(seen), "unverified").when(blank(confirmed), "no_confirmed").when(shared >= LEAST_SHARED, "consistent").otherwise("suspect")

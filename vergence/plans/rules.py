@@ -337,3 +337,13 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
     """Counts against what is expected."""
     n = F.col("found")
     return material.readiness({"products": (table(spark, d, "part"), F.lit(True), n > 0), "open": (table(spark, d, "orders"), F.col("o_orderstatus") == "O", n == 0)})
+
+
+@query("select p_partkey, case when p_partkey % 7 = 0 then 'skipped' when p_partkey % 5 = 0 then 'unverified' when p_partkey % 3 = 0 then 'no_confirmed' when (p_name like 'cold%')::int + (p_name like '%widget%')::int + (p_partkey % 2 = 0)::int >= 2 then 'consistent' else 'suspect' end as verdict from part")
+def description_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of pictures against what was seen."""
+    key = F.col("p_partkey")
+    confirmed = F.when(key % 3 == 0, " ").otherwise(F.concat(F.lit("画面中央的背景："), F.upper("p_name"), F.when(key % 2 == 0, "，矿泉").otherwise("，矿的泉")))
+    seen = F.when(key % 10 != 0, "画面背景是矿泉，cold widget")
+    found = rules.description_verdict(confirmed, seen, key % 10 == 5, key % 7 == 0)
+    return table(spark, d, "part").select("p_partkey", found.alias("verdict"))
