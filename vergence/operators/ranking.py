@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions.text import FIELD_LINE, terms
-from vergence.operators.retrieval import AFFINITY, postings, question_terms, top_k
+from vergence.operators.retrieval import AFFINITY, BROADCAST_ROWS, postings, question_terms, top_k
 
 #: Shortest run of unknown characters, and chunks from which a corpus is judged by; hits of a fusion's window.
 UNKNOWN_RUN, LEAST_CORPUS, WINDOW = 4, 100, 10
@@ -92,3 +92,18 @@ def unknown_words(questions: DataFrame, chunks: DataFrame, least: int = UNKNOWN_
     enough = chunks.select(F.lit(1)).limit(corpus).count() >= corpus
     order = W.partitionBy("query_id").orderBy(F.desc(F.length("term")), "at")
     return missing.where(F.lit(enough)).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", F.col("term").alias("word"))
+
+
+def ranked_targets(probes: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(query_id, span, target, score): for each probe (query_id, question, span, target) the best score that a chunk would have
+    if the target's words were the question's too; only chunks that have one of its new terms count.
+
+    A target that is the span or in the question, or that brings no term, has no row."""
+    probes = probes.distinct().where((F.col("target") != F.col("span")) & ~F.contains("question", F.col("target")))
+    base, changed = terms(F.col("question")), terms(F.replace("question", F.col("span"), F.col("target")))
+    every = probes.select("query_id", "span", "target", base.alias("base"), changed.alias("changed"))
+    asked = every.select("query_id", "span", "target", "base", F.explode(F.array_union("base", "changed")).alias("term"))
+    asked = asked.select("query_id", "span", "target", "term", (~F.array_contains("base", F.col("term"))).alias("fresh"))
+    met = postings(chunks, key).join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "term")
+    scored = met.groupBy("query_id", "span", "target", *key, "n_terms").agg(F.count("*").alias("overlap"), F.bool_or("fresh").alias("fresh")).where("fresh")
+    return scored.groupBy("query_id", "span", "target").agg(F.round(F.max(F.col("overlap") / F.sqrt("n_terms")), 4).alias("score"))

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions import rules, text
-from vergence.operators import material
+from vergence.operators import material, ranking
 from vergence.plans.more import ASKED, VERSIONS
-from vergence.plans.sql import CHUNKS, MESSAGES, mask
+from vergence.plans.sql import ASSETS, CHUNKS, MESSAGES, mask, terms
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
 
@@ -347,3 +347,18 @@ def description_verdicts(spark: SparkSession, d: str) -> DataFrame:
     seen = F.when(key % 10 != 0, "画面背景是矿泉，cold widget")
     found = rules.description_verdict(confirmed, seen, key % 10 == 5, key % 7 == 0)
     return table(spark, d, "part").select("p_partkey", found.alias("verdict"))
+
+
+PROBES = f"(select item_id as query_id, text as question, string_split(text, ' ')[1] as span, string_split(title, ' ')[1] as target from benchmark join ({ASSETS}) on asset_id = item_id * 2 where text <> '' and title <> '')"
+HYPOTHESES = f"(select query_id, span, target, {terms('question')} as base, {terms('replace(question, span, target)')} as changed from {PROBES} where target <> span and not contains(question, target))"
+
+
+@query(f"""with h as (select query_id, span, target, unnest(list_distinct(list_concat(base, changed))) as term, base from {HYPOTHESES}), p as (select asset_id, seq, unnest(t) as term, len(t) as n from (select asset_id, seq, {terms('chunk')} as t from ({CHUNKS}))),
+    s as (select query_id, span, target, asset_id, seq, count(*) / sqrt(max(n)) as score, bool_or(not list_contains(base, term)) as fresh from h join p using (term) group by all)
+    select query_id, span, target, round(max(score), 4) as score from s where fresh group by all""")
+def ranked_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Words that might stand for one of a question's, by the best chunk that they would find."""
+    asked = views.questions(spark, d).where("question <> ''")
+    titles = views.assets(spark, d).where("title <> ''").select((F.col("asset_id") / 2).alias("query_id"), F.substring_index("title", " ", 1).alias("target"))
+    probes = asked.join(titles, "query_id").select("query_id", "question", F.substring_index("question", " ", 1).alias("span"), "target")
+    return ranking.ranked_targets(probes, views.chunks(spark, d), ["asset_id", "seq"])
