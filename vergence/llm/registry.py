@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vergence.sources.views import spread
 
-from vergence.llm import bpe, decontam, langid, lines, minhash, quality, secrets, sharding, tokencount, vectors
+from vergence.llm import alignment, bpe, chat, decontam, divergence, langid, lines, minhash, quality, secrets, sharding, sql, tokencount, vectors
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    marks = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_chats(rows.unionByName(own).withColumn("parts", chat.text_part(F.col("text")))))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_decontamination": (op2_decontamination, None),
@@ -98,4 +113,7 @@ QUERIES = {
     "op8_minhash_near_dedup": (op8_minhash_near_dedup, None),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_chat_formatting": (op11_chat_formatting, sql.OP11),
+    "op12_cross_tokenizer_alignment": (op12_cross_tokenizer_alignment, None),
+    "op13_source_divergence": (op13_source_divergence, sql.OP13),
 }
