@@ -10,7 +10,6 @@ only terms that both have meet in a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ DEPTH, BYTES_PER_CELL, CELL_POWERS = 3, 128, (16, 26)
 #: Cells of a block, the unit in which sketches are merged.
 _BLOCK_POWER = 16
 #: Bytes of text that become terms together, and cells that a task holds before it gives them to Spark.
-_SLICE_BYTES, _HELD_CELLS = 6_000_000, 6_000_000
+_SLICE_BYTES, _HELD_CELLS = 12_000_000, 6_000_000
 #: Each byte of a term is itself, A-Z in lower case, and any other a space: UTF-8 has no such byte inside a character.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -51,15 +50,20 @@ class _Slice:
     """The terms of some texts as numbers: of each token its number and its document."""
 
     def __init__(self, langs: list[str], sources: list[str], texts: list[bytes]):
-        self.langs, self.sources, found = langs, sources, [t.translate(_BYTES).split() for t in texts]
-        self.doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
-        encoded = pa.array(list(chain.from_iterable(found)), pa.binary()).dictionary_encode()
+        self.langs, self.sources = langs, sources
+        data = np.frombuffer(b" " + b" ".join(t.translate(_BYTES) for t in texts) + b" ", np.uint8)
+        inside = data != 32
+        starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        of_text = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum([len(t) + 1 for t in texts])]))
+        offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+        encoded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+        self.doc = np.repeat(np.arange(len(texts)), of_text)
         self.words, self.code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
 
     def once(self) -> tuple[np.ndarray, np.ndarray]:
         """(document, number) of each of a document's different terms."""
-        key = np.unique(self.doc * max(1, len(self.words)) + self.code)
-        return key // max(1, len(self.words)), key % max(1, len(self.words))
+        key = np.sort(self.doc * max(1, len(self.words)) + self.code)
+        return np.divmod(key[np.r_[True, key[1:] != key[:-1]][: len(key)]], max(1, len(self.words)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
@@ -159,7 +163,9 @@ def _survivors(docs: DataFrame, possible: np.ndarray, power: int) -> DataFrame:
 def _share(n: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT * (n + 1) / (total + kept)), exact for any count."""
     d = "decimal(20,0)"
-    return F.when(total + kept > 0, F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast(d), (total + kept).cast(d)) + 1).otherwise(F.lit(0).cast("long"))
+    short = F.call_function("div", F.lit(UNIT).cast("long") * (n + 1), total + kept)
+    long = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast(d), (total + kept).cast(d))
+    return F.when(total + kept == 0, F.lit(0).cast("long")).when(n < 9_000_000_000, short + 1).otherwise(long + 1)
 
 
 def _far(p: Column, q: Column) -> Column:
@@ -187,7 +193,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     possible = possible_cells(texts, cell_power, least)
     exact = _survivors(texts, possible, cell_power).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
-    of_lang = exact.withColumns({"lang_docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "first": (F.row_number().over(of_term.orderBy("source")) == 1).cast("long")})
+    of_lang = exact.withColumns({"lang_docs": F.sum("docs").over(of_term), "lang_n": F.sum("n").over(of_term), "first": (F.min("source").over(of_term) == F.col("source")).cast("long")})
     counts = scratch.table(of_lang.where(F.col("lang_docs") >= least).select("lang", "source", "term", "n", "lang_n", "first"))
 
     totals = scratch.table(counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("firsts")))
