@@ -23,6 +23,11 @@ DISCLAIMER = (
     "|无法(回答|提供|确认|给出)(该|这个|此)?(问题|价格|答案|信息)"
 )
 SENTENCE = "[^。；！？\\n]+[。；！？]?"
+# What a question about a price has besides what it asks for, in this order, the order in which they are tried.
+PRICE_FILLER = (
+    "多少钱|钱|贵不贵|贵|花多少|怎么样|咋样|价格|售价|定价|报价|收费|便宜|请问|问一下|多少|多钱|什么|怎么|怎样|如何|你好|您好|想问|我想|麻烦|问下|一下|下|价|帮|我|查|"
+    "这个|这款|这件|你们|咱们|的|是|要|买|卖|款|啥|咋|这|那|个|台|一[台本部个包盒件套杯双]|[的吗呢啊嘛呀吧呗哦噢啦]|、|，|？|\\?|！|!|。| |　"
+)
 #: Categories up to which they are held as one array for all questions.
 MOST_CATEGORIES = 10_000
 
@@ -43,6 +48,17 @@ def stock_product_residual(question: Column, name: Column) -> Column:
     return stock_residual(question, F.when(F.length(piece) >= LEAST_SHARED, piece).otherwise(F.lit("\x00")))
 
 
+def price_residual(question: Column, token: Column) -> Column:
+    """What is left of a question about a price without what it names and without filler; only a pure one is quoted."""
+    return F.trim(F.regexp_replace(F.replace(question, token, F.lit("")), PRICE_FILLER, ""))
+
+
+def price_product_residual(question: Column, name: Column) -> Column:
+    """As price_residual(), for the piece of a product's name that the question has, if it is long enough."""
+    piece = longest_common(question, name)
+    return price_residual(question, F.when(F.length(piece) >= LEAST_SHARED, piece).otherwise(F.lit("\x00")))
+
+
 def category_array(products: DataFrame) -> Column:
     """All categories as a constant array; a category table is small, and no more than its checked size is collected."""
     found = [r[0] for r in products.where("category is not null").select("category").distinct().limit(MOST_CATEGORIES + 1).collect()]
@@ -122,11 +138,17 @@ def stock_answers(questions: DataFrame, products: DataFrame, categories: Column)
 
 
 def quotes(questions: DataFrame, products: DataFrame, categories: Column) -> DataFrame:
-    """(query_id, kind, quote): for questions about a price, of a category the span of its prices in one currency, else the product's price."""
-    asked = questions.where(F.coalesce(labels.catalog_intent(F.col("question")) == "price", F.lit(False))).withColumn("category", F.get(named_categories(F.col("question"), categories), F.lit(0)))
+    """(query_id, kind, quote): for questions about a price, of a category the span of its prices in one currency, else the product's price.
+
+    Both only where nothing else is asked: what is left without the name and words of price is a
+    question about a service, which has no quote.  questions (query_id, question, product_id,
+    name) bring the product that they match, by a piece of its name."""
+    asked = questions.where(F.coalesce(labels.catalog_intent(F.col("question")) == "price", F.lit(False)))
+    pure = F.filter(named_categories(F.col("question"), categories), lambda c: price_residual(F.col("question"), c) == "")
+    asked = asked.withColumn("category", F.get(pure, F.lit(0)))
     spans = products.where("price_cents is not null").groupBy("category").agg(F.min("price_cents").alias("low"), F.max("price_cents").alias("high"), F.count_distinct("currency").alias("currencies"), F.min("currency").alias("of"))
     own = products.select(F.col("id").alias("product_id"), F.col("price_cents").alias("own"), F.col("currency").alias("own_currency"))
     met = asked.join(spans, "category", "left").join(own, "product_id", "left")
     span = F.when(F.col("currencies") == 1, F.concat(price_label(F.col("low"), F.col("of")), F.lit("–"), price_label(F.col("high"), F.col("of"))))
-    named = F.contains("question", F.col("name")) & F.col("own").isNotNull()
-    return met.select("query_id", F.when(span.isNotNull(), "category").when(named, "product").otherwise("none").alias("kind"), F.coalesce(span, F.when(named, price_label(F.col("own"), F.col("own_currency")))).alias("quote"))
+    alone = F.coalesce((price_product_residual(F.col("question"), F.col("name")) == "") & F.col("own").isNotNull(), F.lit(False))
+    return met.select("query_id", F.when(span.isNotNull(), "category").when(alone, "product").otherwise("none").alias("kind"), F.coalesce(span, F.when(alone, price_label(F.col("own"), F.col("own_currency")))).alias("quote"))

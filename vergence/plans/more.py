@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions import extract, fields, labels, text
-from vergence.operators import assembly, governance, ranking, retrieval, routing, sessions
+from vergence.operators import assembly, governance, ranking, retrieval, routing, sessions, vocabulary
 from vergence.plans.sql import AS_OF as NOW
 from vergence.plans.sql import ASSETS, CHUNKS, MESSAGES, PRODUCTS, chunks, lexical, mask, strip, terms, top
 from vergence.sources import views
@@ -113,8 +113,13 @@ def stock_answers(spark: SparkSession, d: str) -> DataFrame:
 LABEL = lambda c: f"rtrim(rtrim(printf('%.2f', {c} / 100), '0'), '.') || '元'"
 
 
-@query(f"""with a as (select query_id, question, name, category from {NAMED} where coalesce({INTENT}, '') = 'price'), t as (select category, min(price_cents) as low, max(price_cents) as high from ({PRODUCTS}) where price_cents is not null group by category),
-    m as (select a.*, low, high, case when contains(question, a.name) then price_cents end as own from a left join t on t.category = a.category left join ({PRODUCTS}) p on p.id = a.query_id)
+PRICED = lambda token: f"trim(regexp_replace(replace(question, {token}, ''), '{routing.PRICE_FILLER}', '', 'g'))"
+
+
+@query(f"""with a as (select query_id, question, name from {ASKED} where coalesce({INTENT}, '') = 'price'),
+    c as (select category, min(price_cents) as low, max(price_cents) as high from ({PRODUCTS}) where price_cents is not null group by category),
+    pure as (select query_id, arg_min(category, (-length(category), category)) as category from a join (select distinct category from ({PRODUCTS})) on contains(question, category) and {PRICED('category')} = '' group by query_id),
+    m as (select a.query_id, low, high, case when {PRICED('a.name')} = '' then price_cents end as own from a left join pure using (query_id) left join c using (category) left join ({PRODUCTS}) p on p.id = a.query_id)
     select query_id, case when low is not null then 'category' when own is not null then 'product' else 'none' end as kind, coalesce({LABEL('low')} || '–' || {LABEL('high')}, {LABEL('own')}) as quote from m""")
 def price_quotes(spark: SparkSession, d: str) -> DataFrame:
     products = views.products(spark, d)
@@ -502,6 +507,31 @@ def out_of_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+OOV_RUNS = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
+STOPPED = lambda x: f"regexp_matches({x}, '[{text.STOP_CHARS}]')"
+
+
+@query(f"""with asked as (select query_id, regexp_replace(question, '{retrieval.OPINION_WORDS}', ' ', 'g') as s from (select query_id, question from {ASKED} union all select -item_id, text from benchmark)),
+    numbered as (select query_id, unnest(regexp_extract_all(s, '{OOV_RUNS}')) as run, unnest(range(len(regexp_extract_all(s, '{OOV_RUNS}')))) as k from asked),
+    runs as (select *, (sum(length(run)) over (partition by query_id order by k) - length(run))::bigint as first from numbered),
+    letters as (select query_id, k, first + i as pos, substring(run, i + 1, 1) as c from (select *, unnest(range(length(run))) as i from runs where not regexp_matches(run, '^[A-Za-z0-9]')) where regexp_matches(substring(run, i + 1, 1), '[\\p{{L}}\\p{{N}}]')),
+    pairs as (select *, lead(c) over w as c2, lead(pos) over w as pos2, count(*) over (partition by query_id, k) as n from letters window w as (partition by query_id, k order by pos)),
+    spans as (select query_id, lower(run) as term, first as start, length(run) as len from runs where regexp_matches(run, '^[A-Za-z0-9]')
+        union all select query_id, c, pos, 1 from pairs where n = 1 and not {STOPPED('c')}
+        union all select query_id, c || c2, pos, pos2 - pos + 1 from pairs where c2 is not null and not {STOPPED('c || c2')}),
+    field as (select distinct unnest({terms("regexp_split_to_array(chunk, '[：:]')[1]")}) as term from ({CHUNKS}) where regexp_matches(chunk, '{_q(text.FIELD_LINE)}')),
+    entity as (select * from spans where term not in (select term from field)),
+    corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS})), titles as (select distinct unnest({terms('title')}) as term from ({ASSETS})),
+    positions as (select distinct query_id, unnest(range(start, start + len)) as pos from entity where term not in (select term from corpus) and query_id not in (select query_id from entity where term in (select term from titles)) and (select count(*) from ({CHUNKS})) >= 100),
+    islands as (select query_id, min(pos) as start, count(*) as len from (select *, pos - row_number() over (partition by query_id order by pos) as island from positions) group by query_id, island),
+    best as (select * from islands where len >= 4 qualify row_number() over (partition by query_id order by len desc, start) = 1)
+    select query_id, substring(s, start + 1, len) as entity, start::int as start from best join asked using (query_id)""")
+def oov_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """What questions about products and those of the benchmark name that no chunk has."""
+    asked = views.asks(spark, d).select("query_id", "question").unionByName(views.questions(spark, d).select((-F.col("query_id")).alias("query_id"), "question"))
+    return vocabulary.oov_verdicts(asked, views.assets(spark, d), views.chunks(spark, d))
+
+
 @query(f"select query_id, category as longest, named from {NAMED}")
 def named_categories(spark: SparkSession, d: str) -> DataFrame:
     """What a question names: the longest category, and how many."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergence.functions import fields, text
-from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats
+from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats, topk
 from vergence.plans import more, rules, sql
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
@@ -15,8 +15,8 @@ KEY = ["asset_id", "version_no", "seq"]
 
 
 def lexical_top_k(spark: SparkSession, d: str) -> DataFrame:
-    scored = retrieval.lexical_scores(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"])
-    return retrieval.top_k(scored, 5, "asset_id", "seq").select("query_id", "rank", "asset_id", "seq", "overlap", F.round("score", 6).alias("score"))
+    found = topk.lexical_top_k(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"], 5)
+    return found.select("query_id", "rank", "asset_id", "seq", "overlap", F.round("score", 6).alias("score"))
 
 
 def retrieve_top_k(spark: SparkSession, d: str) -> DataFrame:
@@ -26,8 +26,7 @@ def retrieve_top_k(spark: SparkSession, d: str) -> DataFrame:
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Assets that hold a question's whole text are expected."""
-    scored = retrieval.lexical_scores(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"])
-    ranked = retrieval.top_k(scored, 3, "asset_id", "seq")
+    ranked = topk.lexical_top_k(views.questions(spark, d), views.chunks(spark, d), ["asset_id", "seq"], 3)
     asked = views.questions(spark, d)
     # assets that share all terms are few, and only these are searched for the text
     covered = retrieval.coverage(asked, views.assets(spark, d).select("asset_id", F.col("body").alias("chunk")), ["asset_id"]).where("coverage = 1")

@@ -56,6 +56,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKS = (
     "{n}多少钱", "{n}有货吗", "你们卖什么", "{n}的净含量是多少", "我想退货", "退货政策是什么", "转人工", "有没有{n}", "有没有优惠", "运费谁承担", "物流怎么样？", "这个{n}怎么卖，便宜吗",
     "我刚才问的上一个问题是什么", "so-{k}到哪了", "{t}卖多少钱", "{t}还有货吗", "{n}的保修和发票", "它的味道怎么样", "{n}壳有货吗", "刻字要多少运费",
+    "{n}刻字怎么收费", "请问{n}多少钱一个", "{t}的保养收费吗", "{t}多少钱，包邮吗",
 )
 
 
