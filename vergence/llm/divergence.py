@@ -29,7 +29,7 @@ DEPTH, BYTES_PER_CELL, CELL_POWERS = 3, 128, (16, 26)
 #: Cells of a block, the unit in which sketches are merged.
 _BLOCK_POWER = 16
 #: Bytes of text that become terms together, and cells that a task holds before it gives them to Spark.
-_SLICE_BYTES, _HELD_CELLS = 12_000_000, 6_000_000
+_SLICE_BYTES, _HELD_CELLS = 4_000_000, 2_000_000
 #: Each byte of a term is itself, A-Z in lower case, and any other a space: UTF-8 has no such byte inside a character.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
