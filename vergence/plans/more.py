@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions import extract, fields, labels, text
-from vergence.operators import assembly, governance, ranking, retrieval, routing, sessions, vocabulary
+from vergence.operators import assembly, cleanup, governance, numbering, ranking, retrieval, routing, sessions, vocabulary
 from vergence.plans.sql import AS_OF as NOW
 from vergence.plans.sql import ASSETS, CHUNKS, MESSAGES, PRODUCTS, chunks, lexical, mask, strip, terms, top
 from vergence.sources import views
@@ -317,7 +317,33 @@ def health_actions(spark: SparkSession, d: str) -> DataFrame:
 def sessions_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Sessions with open tickets first, empty ones last, newest first."""
     of = views.messages(spark, d).groupBy("session_id").agg(F.count("*").alias("n_messages"), F.count_if((F.col("role") == "customer") & F.col("content").like("%?%")).alias("pending"))
-    return of.select("session_id", F.row_number().over(W.orderBy((F.col("pending") > 0).desc(), F.col("n_messages") == 0, F.desc("session_id"))).alias("place"))
+    # one number that falls with the id inside of its class
+    lead = F.when(F.col("pending") > 0, 0.0).when(F.col("n_messages") > 0, 1.0).otherwise(2.0) * 1e15 - F.col("session_id")
+    return numbering.numbered(of, lead, F.desc("session_id")).select("session_id", "place")
+
+
+@query(f"""with ledger as (select vec_id as doc_id from embeddings where label <> 0 and len(embedding) = 64), due as (select distinct doc_id from documents where doc_id not in (select doc_id from ledger)),
+    placed as (select doc_id, row_number() over (order by doc_id) - 1 as n from due) select doc_id, n // 64 as batch, (n % 64)::int as slot from placed""")
+def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that want a vector; those of one label have one component too few, and are due again."""
+    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("label") == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")).alias("embedding"))
+    return numbering.embedding_batches(table(spark, d, "documents"), held, "doc_id", dimensions=64)
+
+
+@query("""with stay as (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'O'),
+    c as (select c_custkey as k from customer where c_acctbal < 0 and c_custkey not in (select k from stay)),
+    o as (select o_orderkey as k from orders where o_custkey in (select k from c) or o_totalprice < 1000),
+    l as (select l_orderkey, l_linenumber from lineitem where l_orderkey in (select k from o) or l_quantity < 2),
+    r as (select 0 as place, 'lines' as name, (select count(*) from lineitem) as n, (select count(*) from lineitem where (l_orderkey, l_linenumber) in (select (l_orderkey, l_linenumber) from l)) as removed union all select 1, 'orders', (select count(*) from orders), (select count(*) from o) union all select 2, 'customers', (select count(*) from customer), (select count(*) from c))
+    select place, name, n as before, removed, n - removed as after, 0::bigint as orphans from r""")
+def cleanup_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in debt without an urgent open order go, their orders with them, and the lines of these; small orders and lines go by themselves. Lines that share order and number go together."""
+    orders, line = table(spark, d, "orders"), F.struct("l_orderkey", "l_linenumber")
+    tables = {"customers": (table(spark, d, "customer"), "c_custkey"), "orders": (orders, "o_orderkey"), "lines": (table(spark, d, "lineitem").withColumn("line", line), "line")}
+    roots = {"customers": F.col("c_acctbal") < 0, "orders": F.col("o_totalprice") < 1000, "lines": F.col("l_quantity") < 2}
+    links = [cleanup.Link("lines", "l_orderkey", "orders"), cleanup.Link("orders", "o_custkey", "customers")]
+    kept = {"customers": orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'O'").select("o_custkey").distinct()}
+    return cleanup.cleanup_report(tables, links, cleanup.removals(tables, roots, links, kept))
 
 
 @query("select event_id, user_id from events where event_type = 'error' order by event_id desc limit 200")
