@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vergence.functions import extract, fields, labels, text
-from vergence.operators import assembly, cleanup, governance, numbering, ranking, retrieval, routing, sessions, vocabulary
+from vergence.operators import assembly, cleanup, governance, numbering, ranking, retrieval, routing, sessions, sweep, vocabulary
 from vergence.plans.sql import AS_OF as NOW
-from vergence.plans.sql import ASSETS, CHUNKS, MESSAGES, PRODUCTS, chunks, lexical, mask, strip, terms, top
+from vergence.plans.sql import AFFINITY, ASSETS, CHUNKS, LEX_ASSETS, MESSAGES, METRICS, PRODUCTS, chunks, lexical, mask, strip, terms, top
 from vergence.sources import views
 from vergence.sources.views import AS_OF, ASKS, table
 
@@ -533,6 +533,50 @@ def out_of_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+SWEPT = f"""lex as (select query_id, asset_id, score from ({LEX_ASSETS})), aff as ({AFFINITY}),
+    dense as (select query_id, asset_id, cos from (select *, row_number() over (partition by query_id order by cos desc, asset_id) as n from (select q.vec_id as query_id, v.vec_id as asset_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos
+        from embeddings q join benchmark on item_id = q.vec_id, embeddings v) where cos >= 0.3) where n <= 10),
+    hits as (select * from (select coalesce(l.query_id, d.query_id) as query_id, coalesce(l.asset_id, d.asset_id) as asset_id, score, cos from lex l full join dense d on l.query_id = d.query_id and l.asset_id = d.asset_id) left join aff using (query_id, asset_id)),
+    conf as (select * from (values ('L1', 0.0::double, null::double), ('L2', 3.0::double, null), ('L3', 3.0::double, 0.5::double)) v (configuration, alpha, dense)),
+    weighed as (select *, round(score * (1 + alpha * coalesce(affinity, 0)), 9) as w from hits, conf where dense is not null or score is not null),
+    ranges as (select *, min(w) over (partition by configuration, query_id) as low, max(w) over (partition by configuration, query_id) as high from weighed),
+    finals as (select *, case when dense is null then w else round(case when w is null then 0 when high = low then 1 else (w - low) / (high - low) end + dense * coalesce(cos, 0), 9) end as final from ranges where high is not null),
+    ranked as (select * from (select *, row_number() over (partition by configuration, query_id order by final desc, asset_id) as rank from finals) where rank <= 3)"""
+
+
+@query(f"""with {SWEPT}, expected as (select item_id as query_id, min(doc_id) as expected from benchmark b join documents d on contains(d.text, b.text) group by item_id),
+    cases as (select item_id as query_id, expected, case when expected is null then 'open' else 'answerable' end as case_group, configuration from benchmark left join expected on item_id = query_id, conf),
+    judged as (select c.query_id, c.case_group, c.configuration, min(r.rank) as rank from cases c left join ranked r on r.query_id = c.query_id and r.asset_id = c.expected and r.configuration = c.configuration group by 1, 2, 3)
+    select configuration, {METRICS.format(g='case_group')} from judged group by configuration, case_group union all select configuration, {METRICS.format(g="'overall'")} from judged group by configuration""")
+def ablation_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the three levels from one set of hits; a question's vector is the one of its number."""
+    asked, assets = views.questions(spark, d), views.assets(spark, d)
+    return sweep.sweep_metrics(_cases(asked, assets), _swept(spark, d), sweep.LEVELS)
+
+
+@query(f"""with {SWEPT}, old as (select query_id, asset_id, rank as from_rank from ranked where configuration = 'L1'), new as (select query_id, asset_id, rank as to_rank from ranked where configuration = 'L3' and rank = 1)
+    select query_id, from_rank, to_rank, asset_id from new left join old using (query_id, asset_id) where from_rank is null or from_rank > 1""")
+def ablation_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Which best hits the third level has that the first hasn't."""
+    return sweep.changes(_swept(spark, d), "L1", "L3")
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    asked, assets, vectors = views.questions(spark, d), views.assets(spark, d), table(spark, d, "embeddings")
+    lexical = retrieval.lexical_scores(asked, assets.select("asset_id", F.col("body").alias("chunk")), ["asset_id"])
+    of_question = vectors.join(F.broadcast(asked.select(F.col("query_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    dense = retrieval.nearest(of_question, vectors, 10, 0.3).select("query_id", F.col("vec_id").alias("asset_id"), "cos")
+    return sweep.swept(lexical, retrieval.title_affinity(asked, assets), dense, sweep.LEVELS, "asset_id")
+
+
+def _cases(asked: DataFrame, assets: DataFrame) -> DataFrame:
+    """Assets that hold a question's whole text are expected; only those that share all its terms are searched for it."""
+    body = assets.select("asset_id", F.col("body").alias("chunk"))
+    met = retrieval.coverage(asked, body, ["asset_id"]).where("coverage = 1").join(body, "asset_id").join(asked, "query_id").where(F.contains("chunk", "question"))
+    expected = met.groupBy("query_id").agg(F.min("asset_id").alias("expected"))
+    return asked.select("query_id").join(expected, "query_id", "left").withColumn("case_group", F.when(F.col("expected").isNull(), "open").otherwise("answerable"))
+
+
 OOV_RUNS = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
 STOPPED = lambda x: f"regexp_matches({x}, '[{text.STOP_CHARS}]')"
 
