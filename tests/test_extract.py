@@ -66,3 +66,10 @@ def test_cascade(spark):
     for r in ranking.cascade(lexical, dense, "asset_id", 2.0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["asset_id"])
     assert got == {1: [10, 11], 2: [13, 12, 10], 3: [14]}
+
+
+def test_the_first_of_equal_codes_stays(spark):
+    rows = [(str(i % 7), "" if i < 7 else f"n{i}", "500 g", "b", "", "") for i in range(70)]
+    df = spark.createDataFrame(rows, "code string, product_name string, quantity string, brands string, ingredients_text string, countries_en string")
+    got = extract.clean_products(df).collect()
+    assert {r["code"]: r["name"] for r in got} == {str(i % 7): f"n{i}" for i in range(7, 14)}  # those without a name don't count

@@ -53,10 +53,11 @@ def unescaped(text: Column) -> Column:
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
-    """(code, name, quantity, brands, ingredients, countries) of raw rows with a numeric code, a name and a net content that can be read; the first of equal codes."""
+    """(code, name, quantity, brands, ingredients, countries) of raw rows with a numeric code, a name and a net content that can be read; of equal codes the first such row, in the order in which raw is read."""
     value = lambda c: unescaped(stripped(F.coalesce(c, F.lit(""))))
-    rows = raw.select(value("code").alias("code"), F.substring(value("product_name"), 1, 200).alias("name"), value("quantity").alias("quantity"), value("brands").alias("brands"), value("ingredients_text").alias("ingredients"), value("countries_en").alias("countries"))
-    return rows.where(F.col("code").rlike(r"^\d+$") & (F.col("name") != "") & net_content(F.col("quantity")).isNotNull()).dropDuplicates(["code"])
+    rows = raw.select(F.monotonically_increasing_id().alias("_place"), value("code").alias("code"), F.substring(value("product_name"), 1, 200).alias("name"), value("quantity").alias("quantity"), value("brands").alias("brands"), value("ingredients_text").alias("ingredients"), value("countries_en").alias("countries"))
+    kept = rows.where(F.col("code").rlike(r"^\d+$") & (F.col("name") != "") & net_content(F.col("quantity")).isNotNull())
+    return kept.groupBy("code").agg(F.min_by(F.struct("name", "quantity", "brands", "ingredients", "countries"), "_place").alias("_first")).select("code", "_first.*")
 
 
 def spec_text(row: dict[str, Column]) -> Column:
