@@ -74,7 +74,7 @@ BASE = f"""docs as (select d.doc_id, source, lang, text, {strip("string_split(te
         case when gated and c_heading is null and m_heading then 'heading;' else '' end || case when gated and c_lang is null and m_lang then 'lang;' else '' end as unconfirmed from seen),
     decided as (select *, case when (live and version_no = 1) or coalesce(toxic = 1, false) or quality = 0 then 'state' when missing || unconfirmed <> '' then 'gate' when text is null and kind not in ('image', 'video') then 'unreadable' else 'published' end as verdict from gate),
     done as (select *, case kind when 'image' then case when length(title) <= 30 and trim(title) <> '' then title else '' end else text end as body from decided where verdict = 'published'),
-    filed as (select doc_id, list_concat(case when quality is null then ['问：' || title || ' 答：' || coalesce(lang, '')] else [] end, {chunks("body")}, list_filter([{", ".join(f"'{k}：' || c_{k}" for k in CONFIRMED)}], lambda x: x is not null)) as c, version_no from done),
+    filed as (select doc_id, list_concat(case when quality is null then ['问：' || title || ' 答：' || coalesce(lang, '')] else [] end, {chunks("body")}, list_filter([{", ".join(f"'{k}：' || c_{k}" for k in CONFIRMED)}, case when kind <> 'image' and length(title) <= 30 and trim(title) <> '' then '{publish.DESCRIPTION}：' || title end], lambda x: x is not null)) as c, version_no from done),
     fresh as (select doc_id as asset_id, version_no, unnest(range(0, len(c))) as seq, unnest(c) as chunk from filed),
     held as (select doc_id as asset_id, 1 as version_no, unnest(range(0, len(c))) as seq, unnest(c) as chunk from (select doc_id, {chunks("title")} as c from docs where live))"""
 
