@@ -84,7 +84,7 @@ def _totals(template: str) -> str:
 
 
 def _rows(found: DataFrame) -> DataFrame:
-    each = found.select("product_id", F.posexplode("entries").alias("i", "e"))
+    each = found.select("product_id", F.posexplode_outer("entries").alias("i", "e")).where("e is not null")  # after the explosion, so that no filter plans the entries a second time
     return each.select("product_id", (F.col("i") + 1).alias("place"), "e.type", "e.asset_id", "e.start", "e.dur", F.md5("e.text").alias("text_md5"), "e.role")
 
 
