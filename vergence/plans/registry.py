@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vergence.functions import fields, text
 from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats, topk
-from vergence.plans import films, more, neighbours, offers, pieces, publishing, rules, sql  # noqa: F401
+from vergence.plans import films, more, neighbours, offers, pieces, publishing, rules, sql, streams  # noqa: F401
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
 
@@ -401,7 +401,7 @@ def unknown_words(spark: SparkSession, d: str) -> DataFrame:
     return ranking.unknown_words(asked, views.chunks(spark, d))
 
 
-QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__)) for f in (
+QUERIES: dict = {f.__name__: (f, sql.SQL.get(f.__name__, more.SQL.get(f.__name__))) for f in (
     lexical_top_k, retrieve_top_k, retrieval_metrics, title_idf, title_affinity, chunk_coverage, unknown_terms, rank_fusion, linear_fusion, nearest_vectors,
     document_chunks, document_tokens, redact_documents, contact_mask, normalised_text, knowledge_gaps, first_question, last_question, prev_user_question,
     next_assistant_reply, recent_turns, backflow_transcript, unanswered_questions, session_list, visit_sessions, event_islands, daily_zero_fill, event_rates,
