@@ -71,3 +71,12 @@ def test_gate_comes_after_the_cut(spark):
     kinds = spark.createDataFrame([(5, "review_import"), (6, "manual")], "vec_id long, source_kind string")
     got = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in vector_index.gated(found, asked, kinds).collect())
     assert got == [(1, 6, 2), (2, 5, 1), (3, 7, 1)]
+
+
+def test_exact_way_holds_few_blocks_of_queries(spark):
+    x = _crowded(120)
+    vectors = _frame(spark, x)
+    asked = vectors.selectExpr("vec_id as query_id", "embedding as query")
+    found = retrieval.nearest(asked, vectors, 5, 0.0, block=9)  # fourteen blocks
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 4
+    assert _by_query(found) == _exact(x, range(120), 5, 0.0)

@@ -202,3 +202,17 @@ SQL |= {
         corpus as (select distinct unnest({terms('chunk')}) as term from ({CHUNKS}))
         select query_id, term as word from (select *, row_number() over (partition by query_id order by length(term) desc, pos) as n from q where length(term) >= 4 and term not in (select term from corpus)) where n = 1""",
 }
+
+# A fold over each user's events in order: a segment ends at a pause or once it spans enough.
+SQL["pause_segments"] = """with recursive v as (select user_id, epoch_us(ts) / 1e6 as s, epoch_us(ts) / 1e6 + value as e from events),
+    o as (select *, row_number() over (partition by user_id order by s, e) as n from v),
+    r as (select user_id, n, 0 as segment, s as started, e as ended from o where n = 1
+        union all select o.user_id, o.n, r.segment + c.cut::int, case when c.cut then o.s else r.started end, case when c.cut then o.e else greatest(o.e, r.ended) end
+        from r join o on o.user_id = r.user_id and o.n = r.n + 1, lateral (select o.s - r.ended >= 3600 or r.ended - r.started >= 43200 as cut) c)
+    select user_id as key, segment, min(started) as started, max(ended) as ended, count(*) as n from r group by user_id, segment"""
+# The runs of digits and what stands between them, put together again.
+SQL["contact_mask"] = r"""with m as (select doc_id, text, regexp_replace(text, '[\w.+-]+@([\w-]+(?:\.[\w-]+)+)', '****@\1', 'g') as mail from documents),
+    p as (select doc_id, text, string_split_regex(mail, '\d[\d \t\-.]*\d') as parts, regexp_extract_all(mail, '\d[\d \t\-.]*\d') as runs from m),
+    d as (select doc_id, text, parts, list_transform(runs, lambda r: case when length(regexp_replace(r, '\D', '', 'g')) >= 7 then regexp_replace(r, '\D', '', 'g')[1] || repeat('*', length(regexp_replace(r, '\D', '', 'g')) - 3) || right(regexp_replace(r, '\D', '', 'g'), 2) else r end) as runs from p),
+    x as (select doc_id, text, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(runs[i], '')), '') as masked from d)
+    select doc_id, md5(masked) as masked_md5, masked <> text as changed from x"""
