@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vergence.functions import fields, text
 from vergence.operators import audit, catalog, evaluation, governance, limits, ranking, retrieval, sessions, stats, topk
-from vergence.plans import evidence, films, more, neighbours, offers, pieces, publishing, rules, sql, streams  # noqa: F401
+from vergence.plans import evidence, films, more, neighbours, offers, pieces, publishing, replies, rules, sql, streams  # noqa: F401
 from vergence.sources import views
 from vergence.sources.views import AS_OF, table
 
