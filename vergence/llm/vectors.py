@@ -129,7 +129,9 @@ def near_vectors(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id", ve
 
     Vectors are linked at a cosine of `least` or more, in double precision.  Equal vectors are one
     from the start.  Each pass orders all others by concatenated random hashes and compares
-    windows of neighbours; there are more passes the more vectors there are (passes_for).
+    windows of neighbours; there are more passes the more vectors there are (passes_for), by a
+    bound for spread vectors: in a crowd around one centre more lone pairs are missed (2 % of
+    8,800 vectors at cosine 0.88 to it).
     Verified pairs of all passes are united, and then every link inside the united components is
     counted, so that large groups lose none.  Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths.  Rows that
