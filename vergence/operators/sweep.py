@@ -12,6 +12,10 @@ from vergence.operators.evaluation import WIDTH, metrics
 from vergence.operators.retrieval import AFFINITY, DENSE_WEIGHT
 
 
+#: Best hits of a question that are kept for WIDTH results, because final scores, rounded, may tie where weighed ones don't.
+SPARE = 16
+
+
 @dataclass(frozen=True)
 class Configuration:
     """How hits are weighed: strength of title affinity, and the weight of the cosine, null without dense hits."""
