@@ -3,11 +3,13 @@
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vergence.functions.text import masked
-from vergence.operators import meeting, retrieval
+from vergence.operators import meeting, retrieval, sweep
 from vergence.plans import evidence, more, registry
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,26 @@ def test_pairs_are_not_exchanged(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
     assert "Aggregate [query_id#" not in plan.split("MapInArrow")[-1], "scores of pairs are summed after a join"
+
+
+def test_coverage_holders_and_extremes_give_the_rows_of_the_joins(spark, batch_rows, monkeypatch):
+    asked, assets, chunks = _tables(spark, 4)
+    bodies = chunks.where("version_no = 1 and seq = 2").select("asset_id", F.col("chunk").alias("body")).join(assets.select("asset_id", "title"), "asset_id")
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    lexical, affinity = retrieval.lexical_scores(asked, bodies.select("asset_id", F.col("body").alias("chunk")), ["asset_id"]), retrieval._joined_affinity(asked, bodies)
+    none = spark.createDataFrame([], "query_id long, asset_id long, cos double")
+    every = rows(sweep.swept(lexical, affinity, none, sweep.LEVELS, "asset_id"))
+    few = {r["asset_id"] for r in retrieval.extreme_assets(asked, bodies, 3, (0.0, 3.0)).collect()}
+    kept = lambda df: df.where(F.col("asset_id").isin(few))
+    assert every == rows(sweep.swept(kept(lexical), kept(affinity), none, sweep.LEVELS, "asset_id"))
+    found = [rows(retrieval.coverage_top_k(asked, chunks, "asset_id", 3).select("query_id", "asset_id", "rank", "coverage")), rows(retrieval.expected_assets(asked, bodies))]
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert found == [rows(retrieval.coverage_top_k(asked, chunks, "asset_id", 3).select("query_id", "asset_id", "rank", "coverage")), rows(retrieval.expected_assets(asked, bodies))]
+
+
+def test_a_task_hands_on_k_vectors_of_a_query():
+    """However many batches it reads."""
+    held = type("Held", (), {"value": {2: (np.array([7]), np.array([[1.0, 0.0]]))}})()
+    batch = lambda at: pd.DataFrame({"vec_id": range(at, at + 50), "embedding": [np.array([1.0, 0.0])] * 50})
+    out = pd.concat(retrieval._hits([held], 3, 0.5)(iter([batch(100), batch(0), batch(50)])))
+    assert out["vec_id"].tolist() == [0, 1, 2]
