@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vergence.functions.text import masked
-from vergence.operators import meeting, retrieval, sweep
+from vergence.operators import meeting, ranking, retrieval, sweep
 from vergence.plans import evidence, more, registry
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,13 @@ def test_a_task_hands_on_k_vectors_of_a_query():
     batch = lambda at: pd.DataFrame({"vec_id": range(at, at + 50), "embedding": [np.array([1.0, 0.0])] * 50})
     out = pd.concat(retrieval._hits([held], 3, 0.5)(iter([batch(100), batch(0), batch(50)])))
     assert out["vec_id"].tolist() == [0, 1, 2]
+
+
+def test_ranked_targets_give_the_rows_of_the_join(spark, monkeypatch):
+    _, _, chunks = _tables(spark, 5)
+    probes = spark.createDataFrame([(i, f"waa wb{c} x", "waa", t) for i, (c, t) in enumerate([("a", "wac"), ("b", "wbc"), ("c", "waa"), ("d", "快递 wab"), ("e", "none")])], "query_id long, question string, span string, target string")
+    found = ranking.ranked_targets(probes, chunks, ["asset_id", "version_no", "seq"])
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    assert rows and rows == sorted(map(tuple, ranking.ranked_targets(probes, chunks, ["asset_id", "version_no", "seq"]).collect()))
