@@ -29,8 +29,9 @@ def verdicts(state: State, asked: DataFrame) -> DataFrame:
     wanted = asked.where("asset_id is not null").select("asset_id").distinct()
     own = state["versions"].join(wanted, "asset_id", "left_semi")
     newest = own.join(own.groupBy("asset_id").agg(F.max("version_no").alias("version_no")), ["asset_id", "version_no"])
-    held = state["assets"].select("asset_id", "product_id", "kind", "status", "current_version_id", "discarded_at", F.lit(True).alias("_held"))
-    met = wanted.join(held, "asset_id", "left").join(newest, "asset_id", "left").join(state["products"].select("product_id", "schema"), "product_id", "left")
+    # the schema comes to the narrow side, so that texts are moved by asset alone
+    held = state["assets"].select("asset_id", "product_id", "kind", "status", "current_version_id", "discarded_at", F.lit(True).alias("_held")).join(state["products"].select("product_id", "schema"), "product_id", "left")
+    met = wanted.join(held, "asset_id", "left").join(newest, "asset_id", "left")
 
     gate = fields.publish_gate(F.when(F.col("kind") == "document", F.col("schema")), F.col("extracted"), F.col("confirmed"))
     of_field = {"video": fields.resolved_value(F.col("extracted"), F.col("confirmed"), F.lit(TRANSCRIPT)), "image": fields.confirmed_value(F.col("confirmed"), F.lit(DESCRIPTION))}
