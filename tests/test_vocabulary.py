@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vergence.functions import text
-from vergence.operators import retrieval, routing, topk, vocabulary
+from vergence.operators import ranking, retrieval, routing, topk, vocabulary
 
 ODD = ["", "雀巢咖啡的配料", "Nutella, Ferrero怎么样", "so1002到 哪", "保 温,杯", "的", "茶", "a茶b", "１２é x9", "有没有Kindle Paperwhite 4", "，。！"]
 
@@ -114,3 +114,38 @@ def test_quotes_are_pure(spark):
     asked = spark.createDataFrame([(i, q, 3 if "无价" in q else 1, "无价品" if "无价" in q else "钛钢保温杯") for i, q in enumerate(questions)], "query_id long, question string, product_id long, name string")
     got = {r["query_id"]: (r["kind"], r["quote"]) for r in routing.quotes(asked, products, routing.category_array(products)).collect()}
     assert got == {0: ("product", "99元"), 1: ("none", None), 2: ("product", "99元"), 3: ("category", "99元–199元"), 4: ("none", None), 5: ("none", None), 6: ("product", "99元"), 7: ("none", None)}
+
+
+def test_terms_of_texts_are_those_of_their_chunks(spark):
+    rng = random.Random(5)
+    pieces = ["ab", "Q", "x", "7", "42", "é", "É", "保温杯", "茶", "的", " ", " ", "，", "。", "；", "\n", ":", "净含量：", ",", "k9", "\x1f", "a" * 30, "长" * 30, "-"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(150)] + ["x", "7，8。x y", "茶。" + "z" * 41 + "，v，w", None, ""]
+    bodies = spark.createDataFrame([(t,) for t in texts], "body string").repartition(3)
+    chunks = retrieval.chunks_of(bodies)
+    every = {r["term"] for r in retrieval.postings(chunks, []).collect()}
+    names = sorted(every | {t + "q" for t in every if t.isascii()} | {"v", "w", "z", "8", "杯茶", "长保", "éx", "é茶", "0", "b"})
+    frame = spark.createDataFrame([(t,) for t in names], "term string")
+    assert not re.search(retrieval._hold_any({"茶", "杯茶"}).replace("\\x{", "\\u").replace("}", ""), "café " * 3)
+    for limits in ((2000, 64), (2000, 1), (3, 64)):
+        retrieval.ODD_TERMS, retrieval.FIRST_TEXTS, held = *limits, (retrieval.ODD_TERMS, retrieval.FIRST_TEXTS)
+        try:
+            got = [r["term"] for r in retrieval.known_terms(frame, bodies).collect()]
+        finally:
+            retrieval.ODD_TERMS, retrieval.FIRST_TEXTS = held
+        assert sorted(got) == sorted(every & set(names)), limits
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([*names, "保温杯 ab 42", "nowhere x 茶长", None, "", "ab", "ab"])], "query_id long, question string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(retrieval.unknown_terms(asked, chunks, bodies)) == rows(retrieval.unknown_terms(asked, chunks))
+    assert rows(ranking.without_evidence(asked, chunks, bodies)) == rows(ranking.without_evidence(asked, chunks))
+    assert rows(ranking.unknown_words(asked, chunks, corpus=1, texts=bodies)) == rows(ranking.unknown_words(asked, chunks, corpus=1))
+    titled = spark.createDataFrame([("茶 zz",)], "title string")
+    assert rows(vocabulary.oov_verdicts(asked, titled, chunks, least=1, corpus=1, texts=bodies)) == rows(vocabulary.oov_verdicts(asked, titled, chunks, least=1, corpus=1))
+    assert {r[0] for r in ranking.field_terms(bodies).collect()} == {r[0] for r in ranking.field_terms(chunks).collect()}
+
+
+def test_questions_of_one_id_are_judged_as_one(spark):
+    asked = spark.createDataFrame([(0, "ab zzzz"), (0, "xxxxxx"), (1, "ab zzzz"), (2, "ab zzzz")], "query_id long, question string")
+    bodies = spark.createDataFrame([("ab cd",)], "body string")
+    titled = spark.createDataFrame([("cd",)], "title string")
+    got = vocabulary.oov_verdicts(asked, titled, retrieval.chunks_of(bodies), corpus=1, texts=bodies).collect()
+    assert sorted(map(tuple, got)) == [(0, "ab zzzz", 0), (0, "xxxxxx", 0), (1, "zzzz", 3), (2, "zzzz", 3)]
