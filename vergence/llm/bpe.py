@@ -5,15 +5,15 @@ block's distinct words once, in lists by a hash of the word, and each document a
 its words by position.  The lists of all blocks meet by hash, each distinct word is encoded once,
 the ids are joined back to the blocks that have it, and every document is put together again by
 position.  What the pass gives is shuffled once, by block, and read from there both for the words
-and for the documents.  Decoding joins the ids with the table of token bytes, which every task
-holds and whose size the vocabulary bounds.
+and for the documents.  Decoding takes the ids' bytes from the table of token bytes, which every
+worker holds and whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,9 +143,12 @@ def _blocks(docs: DataFrame, pattern: str, block_bytes: int, buckets: int) -> Da
     return docs.mapInArrow(split, _BLOCK)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids as little-endian unsigned 32-bit integers, one row for each row of docs.
 
+    With `decoded` also bytes, what decode() gives for the ids, looked up where a document is put
+    together: decode() behind encode() would keep a second Python worker for each task.
+
     Each match of the pattern is encoded separately, without special tokens.  A null or empty text
     has no ids.  Repeated rows and null ids are encoded like any other; other columns are ignored;
     an empty table gives no rows.  A text is held whole by its task, whatever its length."""
@@ -179,6 +182,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     together = blocks.mapInArrow(lists, "block long, bucket int, lengths binary, contents binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     encoded = together.mapInPandas(ids_of_words, "block long, bucket int, sizes binary, ids binary")
 
+    look_up = _look_up(ranks) if decoded else None
+
     def assemble(of_docs: pd.DataFrame, of_words: pd.DataFrame) -> pd.DataFrame:
         of_docs = of_docs[of_docs["bucket"].isna()]
         head = of_docs["codes"].isna()
@@ -196,28 +201,42 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 ends = np.cumsum(n)
                 at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[of] - ends + n, n)
                 out.append(ids[at].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": out})
+        found = {"doc_id": pd.array(docs, "Int64"), "ids": out}
+        if look_up:
+            found["bytes"] = [b for at in range(0, len(out), _SLICE_ROWS) for b in look_up(out[at : at + _SLICE_ROWS]).to_pylist()]
+        return pd.DataFrame(found)
+
+    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, ids binary" + ", bytes binary" * decoded)
+
+
+def _look_up(ranks: bytes) -> Callable[[list[bytes]], pa.Array]:
+    """Makes the bytes of the tokens of each row's ids; a worker reads the table of tokens once."""
+    held = []
+
+    def look_up(ids: list[bytes]) -> pa.Array:
+        if not held:
+            table = read_ranks(ranks)
+            tokens = [b""] * (max(table.values(), default=-1) + 1)
+            for token, rank in table.items():
+                tokens[rank] = token
+            held.append(pa.array(tokens, pa.binary()))
+        of_tokens = held[0].take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
+        starts = np.frombuffer(of_tokens.buffers()[1], np.int32)[of_tokens.offset :][ends].astype(np.int32) if len(of_tokens) else np.zeros(len(ends), np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts.tobytes()), of_tokens.buffers()[2] or pa.py_buffer(b"")])
 
-    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, ids binary")
+    return look_up
 
 
 def decode(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids' tokens.  Null ids give no bytes."""
+    look_up = _look_up(ranks)
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = read_ranks(ranks)
-        tokens = [b""] * (max(table.values(), default=-1) + 1)
-        for token, rank in table.items():
-            tokens[rank] = token
-        tokens = pa.array(tokens, pa.binary())
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE_ROWS):  # so that few texts are held at once
                 part = batch.slice(at, _SLICE_ROWS)
-                ids = [x or b"" for x in part.column("ids").to_pylist()]
-                of_tokens = tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
-                ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
-                starts = np.frombuffer(of_tokens.buffers()[1], np.int32)[of_tokens.offset :][ends].astype(np.int32) if len(of_tokens) else np.zeros(len(ends), np.int32)
-                found = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts.tobytes()), of_tokens.buffers()[2] or pa.py_buffer(b"")])
+                found = look_up([x or b"" for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), found], ["doc_id", "ids", "bytes"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(look_up, "doc_id long, ids binary, bytes binary")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(decoded, "doc_id long, ids binary, bytes binary")
