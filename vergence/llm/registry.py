@@ -72,10 +72,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
-def bpe_round_trip(docs: DataFrame) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, block_bytes: int = bpe.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the texts' ids and of what these decode to."""
     ranks = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
+    decoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_bytes=block_bytes, decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
