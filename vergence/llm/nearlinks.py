@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vergence.llm.common import NEAR_PERCENT, cut, sized_broadcast
+from vergence.llm.common import NEAR_PERCENT, cut, packed, sized_broadcast
 from vergence.llm.components import connected_components, extended
 
 #: Members that an id is compared with in a round before the last one, and the most rounds.
 PROBES, ROUNDS = 4, 2
 #: Members of a group beyond which the last round works in blocks, and the values that a block's sets have together.
 LARGE, BLOCK_VALUES = 64, 1 << 18
+#: Values of the sets of a partition.
+PART_VALUES = 1 << 20
 _SLICE = 8192
 
 
@@ -84,7 +86,7 @@ def block_links(outsiders: DataFrame, members: DataFrame, sets: DataFrame, perce
     arena is all that is joined by the arena."""
     count = lambda rows, name: rows.groupBy("arena").agg(F.ceil(F.sum("n") / block_values).cast("int").alias(name))
     blocks = cut(count(outsiders, "of_o").join(count(members, "of_m"), "arena"))
-    blocks = sized_broadcast(blocks, blocks.count())
+    blocks = sized_broadcast(packed(blocks, n := blocks.count()), n)
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     met = outsiders.join(blocks, "arena").select("arena", "id", F.lit(True).alias("outside"), place("of_o").alias("i"), every("of_m").alias("j"))
@@ -110,16 +112,19 @@ def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFr
     fits = sizes_fit(percent)
     groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
     held = cut(rows.join(groups.select("key", "pivot"), "key"))
+    size = held.count()
+    held = packed(held, size)
     pivots = held.where("id <> pivot").groupBy("id").agg(F.slice(F.sort_array(F.collect_set("pivot")), 1, PROBES).alias("pivots"))  # as many as an id has keys
     tried = cut(pivots.select(F.explode("pivots").alias("a"), F.col("id").alias("b")))
+    tried = packed(tried, tried.count())
     sets = cut(sets_of(held.select("id").distinct()))
+    sets = sets.coalesce(1 + (sets.agg(F.sum(F.size("members"))).first()[0] or 0) // PART_VALUES)
     found = cut(connected_components(verified(tried, sets, percent)))
 
     many = held.select("key", F.struct("id", "n").alias("x"), "id")
-    size = many.count()
     for turn in range(1, ROUNDS + 1):
         at = found.select(F.col("node").alias("id"), "component")
-        placed = many.join(at, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = many.join(sized_broadcast(at, found.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
         by_component = placed.groupBy("key", "component").agg(F.count("*").alias("size"), F.min("id").alias("probe"))
         main = by_component.groupBy("key").agg(F.max(F.struct("size", "component", "probe")).alias("main"), F.sum("size").alias("all")).where("main.size < all")
         apart = cut(placed.join(main, "key"))
@@ -130,7 +135,7 @@ def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFr
         last = turn == ROUNDS or work <= 4 * size
         if last:  # each pair of different components that an outsider is in
             arenas = apart.groupBy("main.component").agg(F.count_distinct("id").alias("n")).withColumnRenamed("component", "arena").where(F.col("n") > LARGE)
-            arenas = cut(arenas)
+            arenas = cut(packed(arenas, left))
             arenas = sized_broadcast(arenas, arenas.count())
             large = apart.withColumn("arena", F.col("main.component")).join(arenas, "arena", "left_semi").select("arena", "id", "x.n", "component", "main")
             apart = apart.withColumn("arena", F.col("main.component")).join(arenas, "arena", "left_anti")
@@ -143,6 +148,7 @@ def similarity_components(rows: DataFrame, sets_of: Callable[[DataFrame], DataFr
             probes = others.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("main.probe")), 1 + (turn - 1) * PROBES, PROBES).alias("probes"))
             near = probes.select(F.explode("probes").alias("y"), "id").select(F.least("y", "id").alias("a"), F.greatest("y", "id").alias("b"))
         fresh = cut(near.distinct().join(tried, ["a", "b"], "left_anti"))
+        fresh = packed(fresh, fresh.count())
         tried = tried.unionByName(fresh)
         more = verified(fresh, sets, percent)
         if last:
