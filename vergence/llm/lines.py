@@ -32,6 +32,8 @@ HEAD = 6
 LONG_LINE = 128
 #: Most numbers that a broadcast table of removed lines has.
 BROADCAST_LINES = 2_000_000
+#: Most lines asked for whose texts are picked by a broadcast before they are cut into lines.
+NAMED_LINES = 1_000_000
 _HASH_BITS = 56
 _BLANKS = "\t\x0b\x0c\r"
 _LEFT_BITS = 32
@@ -168,11 +170,16 @@ def _maps(members: Column) -> list[Column]:
     return [of(i).alias(name) for i, name in enumerate(_MAPS)]
 
 
-def _sets(texts: DataFrame, lines: DataFrame, ids: DataFrame, rarities: bytes, scratch: Scratch) -> DataFrame:
-    """(line_id, members) of the lines asked for, read from the texts again; rows that repeat have them once."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, least_words: int, lines: DataFrame, ids: DataFrame, rarities: bytes, scratch: Scratch) -> DataFrame:
+    """(line_id, members) of the lines asked for, read again from the texts that have some; rows that repeat have them once."""
     named = scratch.table(lines.join(ids, "line_id", "left_semi").select("line_id", F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key"), F.col("at").alias("of_at")))
     met = (F.col("key") == F.col("of_key")) & (F.col("at") == F.col("of_at")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
-    asked = texts.join(sized_broadcast(named, named.count()), met).groupBy("line_id").agg(F.min("line").alias("line"))
+    rows = named.count()
+    some = docs.select(id_col, text_col)
+    if rows <= NAMED_LINES:  # beyond, texts aren't shuffled for it
+        of_texts = F.broadcast(named.select("of_doc", "of_key").distinct())
+        some = some.join(of_texts, (_row_key(text_col) == F.col("of_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("of_doc")), "left_semi")
+    asked = _lines(some, id_col, text_col, least_words).join(sized_broadcast(named, rows), met).groupBy("line_id").agg(F.min("line").alias("line"))
     return scratch.table(asked.select("line_id", line_set(F.col("line"), rarities).alias("members")))
 
 
@@ -204,7 +211,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
 
     ids = lambda of, x, y: of.select(F.col(x).alias("line_id")).unionByName(of.select(F.col(y).alias("line_id"))).distinct()
     pairs = scratch.table(_with_heads(distinct, scratch.table(_pivots(distinct)), percent, scratch))
-    full = _sets(texts, lines, ids(pairs, "a", "b"), rarities, scratch)
+    full = _sets(docs, id_col, text_col, least_words, lines, ids(pairs, "a", "b"), rarities, scratch)
     settled = scratch.table(_similar(pairs.select(F.col("a").alias("earlier"), F.col("b").alias("later")), full, percent))
     scratch.drop(full, pairs)
 
@@ -213,7 +220,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     near = scratch.table(_candidates(rest, percent))
     of = scratch.table(lines.join(ids(near, "a", "b"), "line_id", "left_semi").join(mark, "line_id", "left").select("line_id", "place", "n", F.slice("prefix", F.lit(1), F.ceil(F.col("n") / HEAD).cast("int")).alias("head"), F.col("settled").isNotNull().alias("settled")))
     directed = scratch.table(_directed(near, of, percent))
-    full = _sets(texts, lines, ids(directed, "earlier", "later"), rarities, scratch)
+    full = _sets(docs, id_col, text_col, least_words, lines, ids(directed, "earlier", "later"), rarities, scratch)
     # a line that is similar to its earliest candidate needs no other
     first = scratch.table(_similar(directed.groupBy("later").agg(F.min_by("earlier", "place").alias("earlier")), full, percent))
     others = directed.select("earlier", "later").join(first.select(F.col("line_id").alias("later")), "later", "left_anti")
@@ -251,7 +258,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = removed.agg(F.count("*") * 4 + F.sum(F.size("gone"))).first()[0] or 0
     own = docs.drop("line_count", "removed_lines")
     met = own.join(sized_broadcast(removed, size, BROADCAST_LINES), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (_row_key(text_col) == F.col("_key")), "left")
-    every = F.split(text_col, "\n")
+    met = met.withColumn("_every", F.split(text_col, "\n"))  # a column of its own, or each line kept would split the text again
+    every = F.col("_every")
     keep = F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone")), lambda i: F.get(every, i))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n"))
     counts = {"line_count": F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(every)), F.lit(0)), "removed_lines": F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0))}
