@@ -77,6 +77,14 @@ def test_search_all_words_in_any_field(spark):
     assert audit.search(rows, "", ["a"]).count() == 3
 
 
+def test_letter_share_of_odd_texts(spark, tmp_path):
+    """An empty text has no share, and ties are rounded as doubles are, both as the SQL does."""
+    texts = ["", None, "ab é", "ÃÂ©x", "   ", "a" * 41 + " " * 599, "a" + " " * 127]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["mojibake"], str(r["letter_share"])) for r in registry.odd_texts(spark, str(tmp_path)).collect()}
+    assert got == {0: (False, "nan"), 1: (None, "None"), 2: (False, "0.5"), 3: (True, "0.25"), 4: (False, "0.0"), 5: (False, "0.064062"), 6: (False, "0.007813")}
+
+
 def test_training_pairs_of_a_long_conversation(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 else "assistant", f"w{t}") for c, n in ((1, 2_600), (2, 4), (3, 3)) for t in range(1, n + 1)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
