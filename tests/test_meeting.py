@@ -102,3 +102,24 @@ def test_ranked_targets_give_the_rows_of_the_join(spark, monkeypatch):
     rows = sorted(map(tuple, found.collect()))
     monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
     assert rows and rows == sorted(map(tuple, ranking.ranked_targets(probes, chunks, ["asset_id", "version_no", "seq"]).collect()))
+
+
+def test_many_wordings_lose_terms_that_nothing_has_and_meet_chunks_in_blocks(spark, batch_rows, monkeypatch):
+    asked, assets, chunks = _tables(spark, 6)
+    orders = [(100 + i, f"so-{9000 + i}到哪了") for i in range(40)] + [(200 + i, f"so-{9000 + i} waa wbb 运费") for i in range(5)]
+    asked = asked.unionByName(spark.createDataFrame([*orders, (300, "物流 zzz"), (301, "物流 zzz 怎么样")], "query_id long, question string"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    key = ["query_id", "rank", "asset_id", "version_no", "seq", "score"]
+    every = lambda synonyms: retrieval.retrieve(asked, assets, chunks, 4, now, synonyms=synonyms).select(*key)
+    want = [sorted(map(tuple, every(synonyms).collect())) for synonyms in (True, False)]
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(retrieval, "_joined_hits", None)  # pairs of a question and a chunk are exchanged there
+    for terms in (500_000, 10):
+        monkeypatch.setattr(retrieval, "BLOCK_TERMS", terms)
+        assert want == [sorted(map(tuple, every(synonyms).collect())) for synonyms in (True, False)]
+    few = every(True)
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
+    assert plan.count("MapInArrow best") > 1 and plan.count("MapInArrow number") == 1, "chunks are exchanged once for all blocks"
+    nobody = retrieval.retrieve(asked.where("query_id between 100 and 139"), assets, chunks, 4, now)
+    assert nobody.count() == 0

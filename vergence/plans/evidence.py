@@ -44,6 +44,7 @@ def governed_evidence(spark: SparkSession, d: str) -> DataFrame:
     facts = table(spark, d, "part").selectExpr(*_facts("make_dt_interval(cast(p_size * 4 as int))", "array"))
     asked = views.asks(spark, d).select("query_id", "question")
     chunks = facts.select("asset_id", "version_no", F.posexplode("chunks").alias("seq", "chunk"))
-    hits = retrieval.retrieve(asked, facts.drop("chunks"), chunks, 5, as_of=F.lit(AS_OF).cast("timestamp"))
-    return ranking.field_directed(hits, asked).select("query_id", "rank", "asset_id", "seq", F.round("score", 5).alias("score"))
+    directed = lambda hits, wordings: ranking.field_directed(hits, wordings).drop("chunk")
+    hits = retrieval.retrieve(asked, facts.drop("chunks"), chunks, 5, as_of=F.lit(AS_OF).cast("timestamp"), then=directed)
+    return hits.select("query_id", "rank", "asset_id", "seq", F.round("score", 5).alias("score"))
 
